@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import threading
@@ -64,6 +65,8 @@ class Scratch:
         for name in names:
             p = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
             p.getFileSystem(conf).delete(p, True)
+        gc.collect()  # shuffle files go when the driver's references to them do
+        jvm.System.gc()
 
 
 MASK64 = (1 << 64) - 1
