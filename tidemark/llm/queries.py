@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import language_id, ngram_join, packing, toxicity, url_filter
+from . import ann, fingerprint, language_id, ngram_join, packing, toxicity, url_filter
 
 
 def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +19,14 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.rate(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(spark, table(spark, sf_dir, "documents"))
+
+
+def op4_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"))
 
