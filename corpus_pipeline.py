@@ -1,26 +1,70 @@
-"""The pipeline of a training corpus; each stage calls one operator of tidemark.llm."""
+"""The pipeline of a training corpus; each stage calls one operator of tidemark.llm.
+
+Every stage but the last returns the columns of documents. Each works on all rows its predecessor
+kept; n_chars follows the text where a stage changes it. Rows that a stage drops: texts in no
+language (null, or without a letter); toxic texts (score of 0.5 or more); all but one of each group
+of near copies (the smallest doc_id stays). Line dedup drops no document.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import ngram_join
+from tidemark.llm import language_id, line_dedup, ngram_join, packing, toxicity
 from tidemark.sources.tables import table
 
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def in_some_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The model learns from the labelled rows of its input; `und` goes."""
+    model = language_id.learn(docs)
+    found = language_id.predict(spark, docs.select(*COLUMNS[:1], *COLUMNS[2:], F.col("text").alias("kept"), "text"), model)
+    return found.filter(F.col("lang_pred") != language_id.UND).select("doc_id", F.col("kept").alias("text"), "lang", "source", "n_chars")
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.train(spark, docs, table(spark, sf_dir, "labels"))
+    found = toxicity.score(spark, docs.select(*COLUMNS[:1], *COLUMNS[2:], F.col("text").alias("kept"), "text"), model)
+    return found.filter("predicted = 0").select("doc_id", F.col("kept").alias("text"), "lang", "source", "n_chars")
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(spark, docs.select(*COLUMNS))
+    return found.withColumn("n_chars", F.when(F.col("removed_lines").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
+
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the smallest doc_id stays."""
-    found = ngram_join.jaccard_components(spark, docs).select("doc_id", "component_id")
-    keep = found.filter("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(keep, docs.doc_id.eqNullSafe(keep.doc_id), "left_semi")
+    found = ngram_join.jaccard_components(spark, docs)
+    away = found.filter("not doc_id <=> component_id").select(F.col("doc_id").alias("_away")).distinct()
+    return docs.select(*COLUMNS).join(away, F.col("doc_id") == F.col("_away"), "left_anti")
+
 
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, docs)
 
-STAGES = [("ngram_join", one_of_each_group)]
+
+STAGES = [
+    ("language_id", in_some_language),
+    ("toxicity", not_toxic),
+    ("line_dedup", without_repeated_lines),
+    ("ngram_jaccard_join", one_of_each_group),
+    ("packing", packed),
+]
+
+#: The stages' models and tokenizer can't be expressed in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The stages one after another, each written to the shared folder and read again."""
+    from tidemark.llm.common import Scratch
+
+    scratch, docs, before = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        docs = scratch.write(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.drop(before)
+        before = name
+    return STAGES[-1][1](spark, docs, sf_dir)
