@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, chunks, mix, prepare, words
-from .prefix_join import TABLE_BITS, among, components, frequency_table, set_id, shared_postings, verify
+from .prefix_join import TABLE_BITS, among, components, frequency_table, plausible, set_id, shared_postings, sketch, verify
 
 SHINGLE_WORDS = 5
 PERCENT = 75
@@ -86,22 +86,25 @@ def tokens_of(batch: pa.RecordBatch):
 
 
 def _index(table, percent):
-    """Rows of (doc_id, sid, n, matches, prefix); a prefix comes with the first of the same sets in a task."""
+    """Rows of (doc_id, sid, n, matches, alone, prefix, sketch); the last three come with the first of the same sets in a task.
+
+    alone: 0 to 127, the share of the set's tokens that weren't seen elsewhere.
+    """
 
     def run(it):
         freq, seen = table.value, set()
         for batch in it:
             ids = batch.column(0)
             for part in chunks(batch.column(1).to_pylist()):
-                sid, n, matches, prefix = [], [], [], []
+                sid, n, matches, alone, prefix, marks = [], [], [], [], [], []
                 for x in shingles([b for _, b in part]):
                     u = np.unique(x)
                     n.append(len(u))
                     key = set_id(u) if len(u) else None
                     sid.append(key)
                     if key is None or key in seen:
-                        matches.append(0)
-                        prefix.append(None)
+                        for column in (matches, alone, prefix, marks):
+                            column.append(None)
                         continue
                     if len(seen) >= SEEN:
                         seen.clear()
@@ -111,8 +114,10 @@ def _index(table, percent):
                     m, size = plan_prefix(len(u), est[order], percent)
                     matches.append(m)
                     prefix.append(u[order[:size]].view(np.int64))
+                    alone.append(127 * int(np.count_nonzero(est == 0)) // len(u))
+                    marks.append(sketch(u))
                 lo = part[0][0]
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, len(part)), pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.array(matches, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "sid", "n", "matches", "prefix"])
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, len(part)), pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.array(matches, pa.int32()), pa.array(alone, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(marks, pa.binary())], names=["doc_id", "sid", "n", "matches", "alone", "prefix", "sketch"])
 
     return run
 
@@ -124,8 +129,8 @@ def _sets(it):
             yield pa.RecordBatch.from_arrays([pa.array([set_id(u) for u in sets], pa.int64()), pa.array([u.tobytes() for u in sets], pa.binary())], names=["sid", "toks"])
 
 
-# meta holds n, the position from 1 and l of a posting
-_N, _POS, _L = "shiftright({}, 36)", "(shiftright({}, 4) & 4294967295L)", "({} & 15L)"
+# meta holds alone, n, the position from 1 and l of a posting, in 7, 26, 26 and 4 bits
+_N, _POS, _L = "(shiftright({}, 30) & 67108863L)", "(shiftright({}, 4) & 67108863L)", "({} & 15L)"
 
 
 def _terms(meta: str, percent: int) -> dict[str, str]:
@@ -148,35 +153,45 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, percent: int = PERC
     docs = docs.select("doc_id", "text")
     table = spark.sparkContext.broadcast(frequency_table(docs, tokens_of))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    indexed = scratch.write(docs.mapInArrow(_index(table, percent), f"doc_id {kind}, sid long, n long, matches int, prefix array<long>"), "indexed")
-    meta = F.expr("(shiftleft(n, 36) | shiftleft(cast(pos + 1 as long), 4)) | cast(matches as long)")
-    postings = indexed.filter("prefix is not null").select("sid", "n", "matches", F.posexplode("prefix").alias("pos", "token")).select("token", "sid", meta.alias("meta"))
+    indexed = scratch.write(docs.mapInArrow(_index(table, percent), f"doc_id {kind}, sid long, n long, matches int, alone int, prefix array<long>, sketch binary"), "indexed")
+    members = scratch.write(indexed.select("doc_id", "sid", "n"), "members")
+    sketches = scratch.write(indexed.filter("sketch is not null").select("sid", "n", "sketch"), "sketches")
+    meta = F.expr("shiftleft(cast(alone as long), 56) | shiftleft(n, 30) | shiftleft(cast(pos + 1 as long), 4) | cast(matches as long)")
+    postings = indexed.filter("prefix is not null").select("sid", "n", "matches", "alone", F.posexplode("prefix").alias("pos", "token")).select("token", "sid", meta.alias("meta"))
     shared = scratch.write(shared_postings(postings), "shared")
-    reps = indexed.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("id"))
+    del indexed, postings
+    scratch.drop("indexed")
+    reps = members.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("id"))
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = scratch.write(pairs, f"{name}-pairs")
+        pairs = scratch.write(plausible(pairs, sketches, percent).distinct(), f"{name}-pairs")
         ends = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
         wanted = scratch.write(reps.join(ends, "sid").select("id"), f"{name}-ids")
-        sets = among(docs, "doc_id", wanted).mapInArrow(_sets, "sid long, toks binary").dropDuplicates(["sid"])
-        return scratch.write(verify(pairs, scratch.write(sets, f"{name}-sets"), percent), f"{name}-links")
+        sets = among(docs, "doc_id", wanted).mapInArrow(_sets, "sid long, toks binary")
+        links = scratch.write(verify(pairs, sets, percent).distinct(), f"{name}-links")
+        del sets
+        scratch.drop(f"{name}-ids")
+        return links
 
     need = f"least({_L.format('ma')}, {_L.format('mb')})"
-    star = shared.filter("sid <> lead").filter(_possible("meta", "lead_meta", percent)).groupBy(F.least("sid", "lead").alias("a"), F.greatest("sid", "lead").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.max(F.expr("least(meta & 15L, lead_meta & 15L)")).alias("need")).filter("c >= need").select("a", "b")
+    star = shared.filter("sid <> lead").filter(_possible("meta", "lead_meta", percent)).groupBy("sid", "lead").agg(F.count(F.lit(1)).alias("c"), F.max(F.expr("least(meta & 15L, lead_meta & 15L)")).alias("need")).filter("c >= need")
+    star = star.groupBy("sid").agg(F.max(F.struct("c", "lead")).alias("best")).select(F.least("sid", "best.lead").alias("a"), F.greatest("sid", "best.lead").alias("b"))
     links = linked(star, "star")
     comp = scratch.write(components(spark, links, scratch, "first"), "first")
     placed = shared.select("token", "sid", "meta").join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     placed = scratch.write(placed, "placed")
     mixed = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token")
     open_ = scratch.write(placed.join(mixed, "token"), "open")
+    del placed, mixed
+    scratch.drop("placed", "shared")
     x = open_.select("token", F.col("sid").alias("a"), F.col("meta").alias("ma"), F.col("root").alias("ra"))
     y = open_.select("token", F.col("sid").alias("b"), F.col("meta").alias("mb"), F.col("root").alias("rb"))
-    rest = x.join(y, "token").filter("a < b and ra <> rb").filter(_possible("ma", "mb", percent)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max(F.expr(need)).alias("need")).filter("c >= need").select("a", "b")
-    rest = rest.join(scratch.spark.read.parquet(f"{scratch.base}/star-pairs"), ["a", "b"], "left_anti")
+    rest = x.join(y, (x.token == y.token) & F.expr("a < b and ra <> rb and " + _possible("ma", "mb", percent))).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max(F.expr(need)).alias("need")).filter("c >= need").select("a", "b")
     more = linked(rest, "rest")
     roots = components(spark, links.union(more), scratch, "last")
     by_root = reps.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("sid", F.coalesce("root", "sid").alias("root"), "id")
     least = by_root.groupBy("root").agg(F.min("id").alias("component_id"))
     named = scratch.write(by_root.join(least, "root").select("sid", "component_id"), "named")
-    scratch.drop("shared", "placed", "open", "star-sets", "rest-sets", "first", "star-pairs", "rest-pairs", "star-links", "rest-links")
-    return indexed.select("doc_id", "sid", F.col("n").alias("n_shingles")).join(named, "sid", "left").select("doc_id", "n_shingles", F.expr("case when sid is null then doc_id else component_id end").alias("component_id"))
+    del rest, x, y, by_root, least, roots
+    scratch.drop("open", "sketches", "first", "star-pairs", "rest-pairs", "star-links", "rest-links")
+    return members.select("doc_id", "sid", F.col("n").alias("n_shingles")).join(named, "sid", "left").select("doc_id", "n_shingles", F.expr("case when sid is null then doc_id else component_id end").alias("component_id"))

@@ -73,7 +73,7 @@ def frequency_table(rows: DataFrame, tokens_of: Callable) -> np.ndarray:
 
 
 def shared_postings(postings: DataFrame) -> DataFrame:
-    """(token, sid, meta) that more than one sid has, with the token's first sid and its meta as lead, lead_meta.
+    """(token, sid, meta) that more than one sid has, with the token's first sid (least meta) and its meta as lead, lead_meta.
 
     A stream over sorted rows: a token that very many sets hold needs no more memory than a rare one.
     """
@@ -106,7 +106,35 @@ def shared_postings(postings: DataFrame) -> DataFrame:
             last = (token[-1], lead[-1], lead_meta[-1], sid[-1], given)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["token", "sid", "meta", "lead", "lead_meta"])
 
-    return postings.repartition("token").sortWithinPartitions("token", "sid").mapInArrow(stream, "token long, sid long, meta long, lead long, lead_meta long")
+    return postings.repartition("token").sortWithinPartitions("token", "meta", "sid").mapInArrow(stream, "token long, sid long, meta long, lead long, lead_meta long")
+
+
+def sketch(tokens: np.ndarray) -> bytes:
+    """Counts of the tokens in about n / 2 hash buckets (a power of two), at most 255 each."""
+    b = 1 << max(3, len(tokens).bit_length() - 2)
+    return np.minimum(np.bincount(((tokens >> np.uint64(40)) & np.uint64(b - 1)).astype(np.int64), minlength=b), 255).astype(np.uint8).tobytes()
+
+
+def most_shared(p: bytes, q: bytes) -> int:
+    """An upper bound of the intersection's size, from two sketches."""
+    x, y = (np.frombuffer(s, dtype=np.uint8).astype(np.int64) for s in (p, q))
+    x[x == 255], y[y == 255] = 1 << 40, 1 << 40
+    b = min(len(x), len(y))
+    return int(np.minimum(x.reshape(-1, b).sum(0), y.reshape(-1, b).sum(0)).sum())
+
+
+def plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the sketches (sid, n, sketch) don't rule out. No similar pair is lost."""
+
+    def check(it):
+        for batch in it:
+            na, x, nb, y = (batch.column(i).to_pylist() for i in range(2, 6))
+            keep = [(100 + percent) * most_shared(p, q) >= percent * (i + j) for i, p, j, q in zip(na, x, nb, y)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    one = pairs.select("a", "b").join(sketches.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ta")), "a")
+    two = one.join(sketches.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("tb")), "b")
+    return two.select("a", "b", "na", "ta", "nb", "tb").mapInArrow(check, "a long, b long")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
