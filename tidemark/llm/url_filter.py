@@ -28,7 +28,7 @@ LITERAL_RULES = 2_000
 class Rule:
     name: str
     verdict: str
-    pattern: str  # over host + "\n" + path
+    pattern: str  # over host and path together; a host has no slash, a path starts with one or is empty
     literals: tuple[str, ...]
     site: bool
 
@@ -37,12 +37,12 @@ def site_rule(host: str, path: str, verdict: str) -> Rule:
     """Fits a host and its subdomains where the path starts with this path."""
     whole = re.sub("[A-Za-z0-9]+$", "", path)  # a last token may go on in a URL, so it is no literal
     parts = tuple(re.findall("[a-z0-9]+", f"{host} {whole}".lower()))
-    return Rule(host + path, verdict, f"^(?:[^\\n]*\\.)?{re.escape(host)}\\n{re.escape(path)}", parts, True)
+    return Rule(host + path, verdict, f"^(?:[^/]*\\.)?{re.escape(host)}{re.escape(path)}", parts, True)
 
 
 def pattern_rule(token: str, verdict: str = "block") -> Rule:
     """Fits hosts with this as a whole token."""
-    return Rule(token, verdict, f"(?:^|[^a-z0-9\\n]){re.escape(token)}(?:[^a-z0-9\\n][^\\n]*)?\\n", (token,), False)
+    return Rule(token, verdict, f"^(?:[^/]*[^a-z0-9/])?{re.escape(token)}(?![a-z0-9])", (token,), False)
 
 
 #: The contract's site rules, and tokens of hosts that serve advertising or gambling.
@@ -80,7 +80,7 @@ def judge(spark: SparkSession, pages: DataFrame, rules: tuple[Rule, ...] = RULES
     host, path = host_and_path(F.col("url"))
     parsed = pages.select("page_id", "url").select("page_id", host.alias("host"), path.alias("path"))
     parsed = parsed.select("page_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"))
-    parsed = parsed.withColumn("subject", F.concat_ws("\n", "host", "path")).withColumn("tokens", tokens(F.col("subject")))
+    parsed = parsed.withColumn("subject", F.concat("host", "path")).withColumn("tokens", tokens(F.col("subject")))
     key = rarest_literals(parsed, rules)
     if len(rules) <= literal_rules:
         by: dict[str, list[Rule]] = {}
