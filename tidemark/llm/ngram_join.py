@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, chunks, mix, prepare, words
-from .prefix_join import TABLE_BITS, among, components, frequency_table, plausible, set_id, shared_postings, sketch, verify
+from .prefix_join import TABLE_BITS, among, components, frequency_table, noise, plausible, set_id, shared_postings, sketch, verify
 
 SHINGLE_WORDS = 5
 PERCENT = 75
@@ -88,11 +88,11 @@ def tokens_of(batch: pa.RecordBatch):
 def _index(table, percent):
     """Rows of (doc_id, sid, n, matches, alone, prefix, sketch); the last three come with the first of the same sets in a task.
 
-    alone: 0 to 127, the share of the set's tokens that weren't seen elsewhere.
+    alone: 0 to 127, the share of the set's tokens that are no more frequent than chance has it.
     """
 
     def run(it):
-        freq, seen = table.value, set()
+        (freq, usual), seen = table.value, set()
         for batch in it:
             ids = batch.column(0)
             for part in chunks(batch.column(1).to_pylist()):
@@ -111,10 +111,10 @@ def _index(table, percent):
                     seen.add(key)
                     est = freq[(u & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)]
                     order = np.argsort(est, kind="stable")
-                    m, size = plan_prefix(len(u), est[order], percent)
+                    m, size = plan_prefix(len(u), np.maximum(est[order] - usual, 0), percent)
                     matches.append(m)
                     prefix.append(u[order[:size]].view(np.int64))
-                    alone.append(127 * int(np.count_nonzero(est == 0)) // len(u))
+                    alone.append(127 * int(np.count_nonzero(est <= usual)) // len(u))
                     marks.append(sketch(u))
                 lo = part[0][0]
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, len(part)), pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.array(matches, pa.int32()), pa.array(alone, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(marks, pa.binary())], names=["doc_id", "sid", "n", "matches", "alone", "prefix", "sketch"])
@@ -151,7 +151,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, percent: int = PERC
     prepare(spark)
     scratch = Scratch(spark, "ngram")
     docs = docs.select("doc_id", "text")
-    table = spark.sparkContext.broadcast(frequency_table(docs, tokens_of))
+    counts = frequency_table(docs, tokens_of)
+    table = spark.sparkContext.broadcast((counts, noise(counts)))
     kind = docs.schema["doc_id"].dataType.simpleString()
     indexed = scratch.write(docs.mapInArrow(_index(table, percent), f"doc_id {kind}, sid long, n long, matches int, alone int, prefix array<long>, sketch binary"), "indexed")
     members = scratch.write(indexed.select("doc_id", "sid", "n"), "members")

@@ -3,7 +3,7 @@
 A set is known by a 64-bit hash of its sorted tokens (its *sid*); equal sets are one class and are
 joined once. Tokens are 64-bit hashes in one global order: rising estimated frequency, then hash.
 Any fixed order gives exact results; the estimate only makes prefixes cheap. It comes from a table
-of fixed size that counts, over all rows, tokens met more than once within a task.
+of fixed size that counts the tokens of all rows by hash.
 """
 
 from __future__ import annotations
@@ -18,10 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Counters of the frequency table: 4 MB at any size of the corpus.
-TABLE_BITS = 20
-#: Tokens looked at together when repeats are counted.
-COUNT_WINDOW = 1 << 21
+#: Counters of the frequency table: 16 MB at any size of the corpus.
+TABLE_BITS = 22
 #: Candidate ids up to this many are broadcast to the texts (under 10 MB); more are joined by shuffle.
 BROADCAST_IDS = 200_000
 
@@ -31,45 +29,64 @@ def set_id(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-class Repeats:
-    """Counts of tokens that come up more than once in a window, by bucket."""
+class Counts:
+    """Saturating counts of tokens by bucket; given out in chunks, dense or sparse, whichever is smaller."""
 
     def __init__(self):
-        self.table, self.held, self.size = np.zeros(1 << TABLE_BITS, dtype=np.int64), [], 0
+        self.table = np.zeros(1 << TABLE_BITS, dtype=np.uint16)
 
     def add(self, tokens: np.ndarray) -> None:
-        self.held.append(tokens)
-        self.size += len(tokens)
-        if self.size >= COUNT_WINDOW:
-            self.flush()
-
-    def flush(self) -> None:
-        if self.size:
-            t = np.sort(np.concatenate(self.held))
-            again = np.concatenate(([False], t[1:] == t[:-1]))
-            self.table += np.bincount((t[again] & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64), minlength=1 << TABLE_BITS)
-        self.held, self.size = [], 0
+        at, n = np.unique((tokens & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int32), return_counts=True)
+        self.table[at] = np.minimum(self.table[at].astype(np.int64) + n, 65535)
 
     def batches(self) -> Iterator[pa.RecordBatch]:
-        self.flush()
-        at = np.flatnonzero(self.table)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(self.table[at])], names=["bucket", "n"])
+        for chunk, part in enumerate(self.table.reshape(-1, 1 << 16)):
+            at = np.flatnonzero(part)
+            if not len(at):
+                continue
+            small = int(part.max()) < 256
+            kind = np.uint8 if small else np.uint16
+            sparse = len(at) * (2 + kind().itemsize) < len(part) * kind().itemsize
+            data = at.astype(np.uint16).tobytes() + part[at].astype(kind).tobytes() if sparse else part.astype(kind).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([len(at) if sparse else -1], pa.int32()), pa.array([small]), pa.array([data], pa.binary())], names=["chunk", "size", "small", "data"])
+
+
+def _sum_chunks(it):
+    """Sums of a task's chunks, one row a chunk; memory: the table's size at most."""
+    total: dict[int, np.ndarray] = {}
+    for batch in it:
+        for chunk, size, small, data in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            own = total.setdefault(chunk, np.zeros(1 << 16, dtype=np.int64))
+            kind = np.uint8 if small else np.uint16
+            if size < 0:
+                own += np.frombuffer(data, dtype=kind)
+            else:
+                own[np.frombuffer(data, dtype=np.uint16, count=size)] += np.frombuffer(data, dtype=kind, offset=2 * size)
+    for chunk, own in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([np.minimum(own, (1 << 31) - 1).astype(np.int32).tobytes()], pa.binary())], names=["chunk", "data"])
 
 
 def frequency_table(rows: DataFrame, tokens_of: Callable) -> np.ndarray:
-    """tokens_of(record batch) yields arrays of token hashes."""
+    """Counts by bucket over all rows. tokens_of(record batch) yields arrays of token hashes."""
 
     def count(it):
-        r = Repeats()
+        c = Counts()
         for batch in it:
             for tokens in tokens_of(batch):
-                r.add(tokens)
-        yield from r.batches()
+                c.add(tokens)
+        yield from c.batches()
+
+    sums = rows.mapInArrow(count, "chunk int, size int, small boolean, data binary").repartition("chunk").mapInArrow(_sum_chunks, "chunk int, data binary").toArrow()
+    table = np.zeros((1 << (TABLE_BITS - 16), 1 << 16), dtype=np.int32)
+    for chunk, data in zip(sums.column("chunk").to_pylist(), sums.column("data").to_pylist()):
+        table[chunk] = np.frombuffer(data, dtype=np.int32)
+    return table.reshape(-1)
+
 
-    sums = rows.mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(1 << TABLE_BITS, dtype=np.int32)
-    table[sums.column("bucket").to_numpy()] = np.minimum(sums.column("n").to_numpy(), (1 << 31) - 1)
-    return table
+def noise(table: np.ndarray) -> int:
+    """What a bucket holds without any frequent token, about: mean and two deviations."""
+    m = float(np.median(table))
+    return int(m + 2 * m**0.5) + 1
 
 
 def shared_postings(postings: DataFrame) -> DataFrame:
