@@ -23,10 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import CHUNK_BYTES, Scratch, chunks, mix, prepare, words
-from .prefix_join import BROADCAST_IDS, TABLE_BITS, frequency_table, shared_postings, verify
+from .prefix_join import BROADCAST_IDS, TABLE_BITS, frequency_table, plausible, shared_postings, verify
 
 PERCENT = 80
 LEAST_WORDS = 5
+#: Buckets of a line's sketch, one byte each.
+MARKS = 32
 SEEN = 1 << 19
 
 
@@ -50,13 +52,21 @@ def set_ids(h: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
     return mix(np.add.reduceat(mix(h ^ np.uint64(0x5851F42D4C957F2D)), at) + n.astype(np.uint64)).view(np.int64)
 
 
+def sketches(h: np.ndarray, n: np.ndarray) -> pa.Array:
+    """For each line, counts of its words by hash bucket."""
+    line = np.repeat(np.arange(len(n)), n)
+    counts = np.bincount(line * MARKS + ((h >> np.uint64(40)) & np.uint64(MARKS - 1)).astype(np.int64), minlength=MARKS * len(n))
+    data = pa.py_buffer(np.minimum(counts, 255).astype(np.uint8).tobytes())
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(MARKS), len(n), [None, data]).cast(pa.binary())
+
+
 def _tokens(batch: pa.RecordBatch):
     for part in chunks(batch.column(0).to_pylist()):
         yield line_words([b for _, b in part])[1]
 
 
 def _index(table, percent: int):
-    """Rows (row, doc_id, lines: array of (line, sid), fresh: array of (sid, n, prefix)) for each document."""
+    """A row (row, doc_id, line, sid, n, prefix, sketch) for each line; the prefix is empty after the first of equal sets in a task."""
 
     def run(it):
         freq, seen = table.value, set()
@@ -85,7 +95,7 @@ def _index(table, percent: int):
                 where = np.repeat(at[keep] - offsets[:-1], lengths) + np.arange(offsets[-1])
                 prefix = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ranked[where]))
                 take = pa.array(owner[keep])
-                yield pa.RecordBatch.from_arrays([rows.take(take), ids.take(take), pa.array(number[keep] - first[owner[keep]], pa.int64()), pa.array(sid[keep]), pa.array(n[keep], pa.int64()), prefix], names=["row", "doc_id", "line", "sid", "n", "prefix"])
+                yield pa.RecordBatch.from_arrays([rows.take(take), ids.take(take), pa.array(number[keep] - first[owner[keep]], pa.int64()), pa.array(sid[keep]), pa.array(n[keep], pa.int64()), prefix, sketches(h, n).take(pa.array(keep))], names=["row", "doc_id", "line", "sid", "n", "prefix", "sketch"])
 
     return run
 
@@ -123,43 +133,50 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) ->
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
     table = spark.sparkContext.broadcast(frequency_table(docs.select("text"), _tokens))
-    lines = scratch.write(keyed.mapInArrow(_index(table, percent), f"row long, doc_id {kind}, line long, sid long, n long, prefix array<long>"), "indexed")
+    lines = scratch.write(keyed.mapInArrow(_index(table, percent), f"row long, doc_id {kind}, line long, sid long, n long, prefix array<long>, sketch binary"), "indexed")
+    marks = scratch.write(lines.filter("size(prefix) > 0").select("sid", "n", "sketch").dropDuplicates(["sid"]), "marks")
     slim = scratch.write(lines.select("row", "doc_id", "line", "sid"), "lines")
     meta = F.expr("shiftleft(n, 30) | cast(pos + 1 as long)")
     shared = scratch.write(shared_postings(lines.select("sid", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "sid", meta.alias("meta"))).select("token", "sid", "meta"), "shared")
     del lines
     scratch.drop("indexed")
     firsts = scratch.write(slim.groupBy("sid").agg(F.min(F.struct("doc_id", "row", "line")).alias("first"), F.count(F.lit(1)).alias("copies")), "firsts")
-    placed = scratch.write(shared.join(firsts.select("sid", "first"), "sid"), "placed")
+    # postings carry the first line's doc_id alone; the full order is looked up for the few pairs that match
+    placed = scratch.write(shared.join(firsts.select("sid", F.col("first.doc_id").alias("doc")), "sid").select("token", "sid", "meta", "doc"), "placed")
+    del shared
     scratch.drop("shared")
 
     def matched(pairs: DataFrame, name: str) -> DataFrame:
-        """pairs (a: earlier sid, b: later sid); the b that match."""
-        pairs = scratch.write(pairs.distinct(), f"{name}-pairs")
+        """pairs (a, b) of sids; of those that match, the later one (its first line comes later)."""
+        pairs = scratch.write(plausible(pairs, marks, percent).distinct(), f"{name}-pairs")
         ends = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
         wanted = firsts.join(ends, "sid").select("first.row", "first.line").groupBy("row").agg(F.collect_list("line").alias("lines"))  # a text's own lines
         wanted = scratch.write(wanted, f"{name}-wanted")
         small = wanted.limit(BROADCAST_IDS + 1).agg(F.coalesce(F.sum(F.size("lines")), F.lit(0)).alias("n")).first().n <= BROADCAST_IDS
         sets = keyed.select("row", "text").join(F.broadcast(wanted) if small else wanted, "row").select("text", "lines").mapInArrow(_sets, "sid long, toks binary")
-        sets = scratch.write(sets.dropDuplicates(["sid"]), f"{name}-sets")
-        found = scratch.write(verify(pairs, sets, percent).select(F.col("b").alias("sid")).distinct(), f"{name}-gone")
-        scratch.drop(f"{name}-sets", f"{name}-wanted")
+        links = verify(pairs, sets, percent).distinct()
+        x = links.join(firsts.select(F.col("sid").alias("a"), F.col("first").alias("fa")), "a").join(firsts.select(F.col("sid").alias("b"), F.col("first").alias("fb")), "b")
+        found = scratch.write(x.select(F.expr("case when fa < fb then b else a end").alias("sid")).distinct(), f"{name}-gone")
+        del sets, links, x, wanted, ends
+        scratch.drop(f"{name}-wanted")
         return found
 
-    lead = placed.groupBy("token").agg(F.min(F.struct("first", "sid", "meta")).alias("lead"))
+    lead = placed.groupBy("token").agg(F.min(F.struct("doc", "sid", "meta")).alias("lead"))
     star = placed.join(lead, "token").filter("sid <> lead.sid").filter(_possible("meta", "lead.meta", percent))
     star = star.groupBy("sid", F.col("lead.sid").alias("lead")).agg(F.count(F.lit(1)).alias("c")).groupBy("sid").agg(F.max(F.struct("c", "lead")).alias("best"))
     gone = matched(star.select(F.col("best.lead").alias("a"), F.col("sid").alias("b")), "star")
+    del star, lead
+    scratch.drop("star-wanted")
     late = placed.join(gone, "sid", "left_anti")
-    x = placed.select("token", F.col("sid").alias("a"), F.col("meta").alias("ma"), F.col("first").alias("fa"))
-    y = late.select("token", F.col("sid").alias("b"), F.col("meta").alias("mb"), F.col("first").alias("fb"))
-    rest = x.join(y, (x.token == y.token) & F.expr("fa < fb and a <> b and " + _possible("ma", "mb", percent))).select("a", "b")
+    x = placed.select("token", F.col("sid").alias("a"), F.col("meta").alias("ma"), F.col("doc").alias("da"))
+    y = late.select("token", F.col("sid").alias("b"), F.col("meta").alias("mb"), F.col("doc").alias("db"))
+    rest = x.join(y, (x.token == y.token) & F.expr("coalesce(da <= db, da is null) and a <> b and " + _possible("ma", "mb", percent))).select("a", "b")
     done = spark.read.parquet(f"{scratch.base}/star-pairs")
     more = matched(rest.distinct().join(done, ["a", "b"], "left_anti"), "rest")
     bad = firsts.join(gone.union(more).withColumn("gone", F.lit(True)), "sid", "left").filter("copies > 1 or gone").select("sid", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
     cut = slim.join(bad, "sid").filter("gone or row <> first.row or line <> first.line")
     cut = scratch.write(cut.select("row", "line").distinct().groupBy("row").agg(F.collect_list("line").alias("removed_lines")), "cut")  # a text's own lines
-    scratch.drop("placed", "firsts", "lines", "star-pairs", "rest-pairs", "star-gone", "rest-gone")
+    scratch.drop("placed", "marks", "firsts", "lines", "star-pairs", "rest-pairs", "star-gone", "rest-gone")
     names = [c for c in docs.columns if c != "removed_lines"]
     carried = docs.select(*(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names)), F.xxhash64("doc_id", "text").alias("_row"))
     both = carried.join(cut, carried._row == cut.row, "left")
