@@ -7,6 +7,8 @@ fewer than LEAST_WORDS different words always stay.
 
 Words are ordered by rarity; the first n - o + 1 (o: the least overlap a partner can have) make the
 prefix, and only lines that share a prefix word with a possible length and position are verified.
+A posting also holds parity maps of the line's words, which bound the number of differing words from
+below; pairs they rule out never leave the join.
 First each line is held against the earliest line of its posting lists, which settles groups of
 copies by a star; then the lines not yet gone are held against all earlier ones.
 
@@ -23,12 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import CHUNK_BYTES, Scratch, chunks, mix, prepare, words
-from .prefix_join import BROADCAST_IDS, TABLE_BITS, frequency_table, plausible, shared_postings, verify
+from .prefix_join import BROADCAST_IDS, TABLE_BITS, frequency_table, verify
 
 PERCENT = 80
 LEAST_WORDS = 5
-#: Buckets of a line's sketch, one byte each.
-MARKS = 32
 SEEN = 1 << 19
 
 
@@ -52,12 +52,15 @@ def set_ids(h: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
     return mix(np.add.reduceat(mix(h ^ np.uint64(0x5851F42D4C957F2D)), at) + n.astype(np.uint64)).view(np.int64)
 
 
-def sketches(h: np.ndarray, n: np.ndarray) -> pa.Array:
-    """For each line, counts of its words by hash bucket."""
+def parities(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit maps of each line: bit i is the parity of its words with hash bucket i.
+
+    Maps of two lines differ in at most as many bits as their sets differ in words.
+    """
     line = np.repeat(np.arange(len(n)), n)
-    counts = np.bincount(line * MARKS + ((h >> np.uint64(40)) & np.uint64(MARKS - 1)).astype(np.int64), minlength=MARKS * len(n))
-    data = pa.py_buffer(np.minimum(counts, 255).astype(np.uint8).tobytes())
-    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(MARKS), len(n), [None, data]).cast(pa.binary())
+    bits = np.bincount(line * 128 + ((h >> np.uint64(40)) & np.uint64(127)).astype(np.int64), minlength=128 * len(n)).astype(np.uint8) & 1
+    maps = np.packbits(bits.reshape(-1, 128), axis=1, bitorder="little").view(np.int64)
+    return np.ascontiguousarray(maps[:, 0]), np.ascontiguousarray(maps[:, 1])
 
 
 def _tokens(batch: pa.RecordBatch):
@@ -66,7 +69,7 @@ def _tokens(batch: pa.RecordBatch):
 
 
 def _index(table, percent: int):
-    """A row (row, doc_id, line, sid, n, prefix, sketch) for each line; the prefix is empty after the first of equal sets in a task."""
+    """A row (row, doc_id, line, sid, n, prefix, m1, m2) for each line; the prefix is empty after the first of equal sets in a task."""
 
     def run(it):
         freq, seen = table.value, set()
@@ -95,7 +98,8 @@ def _index(table, percent: int):
                 where = np.repeat(at[keep] - offsets[:-1], lengths) + np.arange(offsets[-1])
                 prefix = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ranked[where]))
                 take = pa.array(owner[keep])
-                yield pa.RecordBatch.from_arrays([rows.take(take), ids.take(take), pa.array(number[keep] - first[owner[keep]], pa.int64()), pa.array(sid[keep]), pa.array(n[keep], pa.int64()), prefix, sketches(h, n).take(pa.array(keep))], names=["row", "doc_id", "line", "sid", "n", "prefix", "sketch"])
+                m1, m2 = parities(h, n)
+                yield pa.RecordBatch.from_arrays([rows.take(take), ids.take(take), pa.array(number[keep] - first[owner[keep]], pa.int64()), pa.array(sid[keep]), pa.array(n[keep], pa.int64()), prefix, pa.array(m1[keep]), pa.array(m2[keep])], names=["row", "doc_id", "line", "sid", "n", "prefix", "m1", "m2"])
 
     return run
 
@@ -120,10 +124,51 @@ def _sets(it):
 _N, _POS = "shiftright({}, 30)", "({} & 1073741823L)"
 
 
-def _possible(a: str, b: str, percent: int) -> str:
-    na, nb, pa_, pb = _N.format(a), _N.format(b), _POS.format(a), _POS.format(b)
+def _possible(x: str, y: str, percent: int) -> str:
+    """Length filter, positional filter, and that the parity maps allow so few differing words; x and y prefix the columns."""
+    na, nb, pa_, pb = _N.format(f"{x}meta"), _N.format(f"{y}meta"), _POS.format(f"{x}meta"), _POS.format(f"{y}meta")
     most = f"(least({pa_}, {pb}) + least({na} - {pa_}, {nb} - {pb}))"
-    return f"100 * least({na}, {nb}) >= {percent} * greatest({na}, {nb}) and {100 + percent} * {most} >= {percent} * ({na} + {nb})"
+    differ = f"(bit_count({x}m1 ^ {y}m1) + bit_count({x}m2 ^ {y}m2))"
+    return f"100 * least({na}, {nb}) >= {percent} * greatest({na}, {nb}) and {100 + percent} * {most} >= {percent} * ({na} + {nb}) and {100 + percent} * {differ} <= {100 - percent} * ({na} + {nb})"
+
+
+def _led(percent: int):
+    """Of rows (token, sid, meta, m1, m2, doc) sorted by token, doc, sid: those of tokens with more rows than one.
+
+    Adds lead: the first row's sid, where the filters allow a match with it. Memory: one batch.
+    """
+
+    def run(it):
+        held, going = None, None  # the latest token's only row so far; values of the latest token's first row, given out
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch, held = pa.concat_batches([held, batch]), None
+            cols = [batch.column(i).to_numpy() for i in range(5)]
+            token = cols[0]
+            new = np.ones(len(token), dtype=bool)
+            new[1:] = token[1:] != token[:-1]
+            if going is not None and going[0] == token[0]:
+                new[0] = False
+            starts, group = np.flatnonzero(new), np.cumsum(new) - 1  # -1: goes on from the batch before
+            sizes = np.bincount(group + 1, minlength=len(starts) + 1)
+            first = [np.where(group >= 0, c[starts[group]], going[i] if going is not None else 0) if len(starts) else np.full(len(c), going[i]) for i, c in enumerate(cols)]
+            keep = (group < 0) | (sizes[group + 1] > 1)
+            (na, pos), (nb, at) = ((m >> 30, m & ((1 << 30) - 1)) for m in (cols[2], first[2]))
+            most = np.minimum(pos, at) + np.minimum(na - pos, nb - at)
+            differ = np.bitwise_count(cols[3] ^ first[3]).astype(np.int64) + np.bitwise_count(cols[4] ^ first[4])
+            fits = ~new & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & ((100 + percent) * most >= percent * (na + nb)) & ((100 + percent) * differ <= (100 - percent) * (na + nb))
+            if len(starts):
+                going = None
+                if sizes[-1] == 1:
+                    held = batch.slice(batch.num_rows - 1, 1)
+                else:
+                    going = [c[starts[-1]] for c in cols]
+            out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(first[1], pa.int64(), mask=~fits)], names=["token", "sid", "meta", "m1", "m2", "doc", "lead"])
+            yield out.filter(pa.array(keep))
+
+    return run
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -133,22 +178,22 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) ->
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
     table = spark.sparkContext.broadcast(frequency_table(docs.select("text"), _tokens))
-    lines = scratch.write(keyed.mapInArrow(_index(table, percent), f"row long, doc_id {kind}, line long, sid long, n long, prefix array<long>, sketch binary"), "indexed")
-    marks = scratch.write(lines.filter("size(prefix) > 0").select("sid", "n", "sketch").dropDuplicates(["sid"]), "marks")
+    lines = scratch.write(keyed.mapInArrow(_index(table, percent), f"row long, doc_id {kind}, line long, sid long, n long, prefix array<long>, m1 long, m2 long"), "indexed")
     slim = scratch.write(lines.select("row", "doc_id", "line", "sid"), "lines")
-    meta = F.expr("shiftleft(n, 30) | cast(pos + 1 as long)")
-    shared = scratch.write(shared_postings(lines.select("sid", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "sid", meta.alias("meta"))).select("token", "sid", "meta"), "shared")
-    del lines
+    classes = lines.groupBy("sid").agg(F.min(F.struct("doc_id", "row", "line")).alias("first"), F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("n", "m1", "m2")), F.max("prefix").alias("prefix"))
+    classes = scratch.write(classes, "classes")
+    firsts = classes.select("sid", "first", "copies")
     scratch.drop("indexed")
-    firsts = scratch.write(slim.groupBy("sid").agg(F.min(F.struct("doc_id", "row", "line")).alias("first"), F.count(F.lit(1)).alias("copies")), "firsts")
-    # postings carry the first line's doc_id alone; the full order is looked up for the few pairs that match
-    placed = scratch.write(shared.join(firsts.select("sid", F.col("first.doc_id").alias("doc")), "sid").select("token", "sid", "meta", "doc"), "placed")
-    del shared
-    scratch.drop("shared")
+    meta = F.expr("shiftleft(n, 30) | cast(pos + 1 as long)").alias("meta")
+    postings = classes.select("sid", "n", "m1", "m2", F.col("first.doc_id").alias("doc"), F.posexplode("prefix").alias("pos", "token")).select("token", "sid", meta, "m1", "m2", "doc")
+    led = postings.repartition("token").sortWithinPartitions("token", "doc", "sid").mapInArrow(_led(percent), f"token long, sid long, meta long, m1 long, m2 long, doc {kind}, lead long")
+    placed = scratch.write(led, "placed")
+    del lines, postings, led
+    scratch.drop()
 
     def matched(pairs: DataFrame, name: str) -> DataFrame:
         """pairs (a, b) of sids; of those that match, the later one (its first line comes later)."""
-        pairs = scratch.write(plausible(pairs, marks, percent).distinct(), f"{name}-pairs")
+        pairs = scratch.write(pairs.distinct(), f"{name}-pairs")
         ends = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
         wanted = firsts.join(ends, "sid").select("first.row", "first.line").groupBy("row").agg(F.collect_list("line").alias("lines"))  # a text's own lines
         wanted = scratch.write(wanted, f"{name}-wanted")
@@ -161,22 +206,20 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) ->
         scratch.drop(f"{name}-wanted")
         return found
 
-    lead = placed.groupBy("token").agg(F.min(F.struct("doc", "sid", "meta")).alias("lead"))
-    star = placed.join(lead, "token").filter("sid <> lead.sid").filter(_possible("meta", "lead.meta", percent))
-    star = star.groupBy("sid", F.col("lead.sid").alias("lead")).agg(F.count(F.lit(1)).alias("c")).groupBy("sid").agg(F.max(F.struct("c", "lead")).alias("best"))
+    star = placed.filter("lead is not null").groupBy("sid", "lead").agg(F.count(F.lit(1)).alias("c")).groupBy("sid").agg(F.max(F.struct("c", "lead")).alias("best"))
     gone = matched(star.select(F.col("best.lead").alias("a"), F.col("sid").alias("b")), "star")
-    del star, lead
+    del star
     scratch.drop("star-wanted")
+    placed = placed.drop("lead")
     late = placed.join(gone, "sid", "left_anti")
-    x = placed.select("token", F.col("sid").alias("a"), F.col("meta").alias("ma"), F.col("doc").alias("da"))
-    y = late.select("token", F.col("sid").alias("b"), F.col("meta").alias("mb"), F.col("doc").alias("db"))
-    rest = x.join(y, (x.token == y.token) & F.expr("coalesce(da <= db, da is null) and a <> b and " + _possible("ma", "mb", percent))).select("a", "b")
+    x, y = (side.select(*(F.col(c).alias(f"{p}{c}") for c in placed.columns)) for side, p in ((placed, "x"), (late, "y")))
+    rest = x.join(y, (x.xtoken == y.ytoken) & F.expr("coalesce(xdoc <= ydoc, xdoc is null) and xsid <> ysid and " + _possible("x", "y", percent))).select(F.col("xsid").alias("a"), F.col("ysid").alias("b"))
     done = spark.read.parquet(f"{scratch.base}/star-pairs")
     more = matched(rest.distinct().join(done, ["a", "b"], "left_anti"), "rest")
     bad = firsts.join(gone.union(more).withColumn("gone", F.lit(True)), "sid", "left").filter("copies > 1 or gone").select("sid", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
     cut = slim.join(bad, "sid").filter("gone or row <> first.row or line <> first.line")
     cut = scratch.write(cut.select("row", "line").distinct().groupBy("row").agg(F.collect_list("line").alias("removed_lines")), "cut")  # a text's own lines
-    scratch.drop("placed", "marks", "firsts", "lines", "star-pairs", "rest-pairs", "star-gone", "rest-gone")
+    scratch.drop("placed", "classes", "lines", "star-pairs", "rest-pairs", "star-gone", "rest-gone")
     names = [c for c in docs.columns if c != "removed_lines"]
     carried = docs.select(*(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names)), F.xxhash64("doc_id", "text").alias("_row"))
     both = carried.join(cut, carried._row == cut.row, "left")
