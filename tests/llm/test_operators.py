@@ -5,6 +5,7 @@ import zlib
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -283,3 +284,28 @@ def test_token_counts(spark):
         e = unigram.encode(s)
         assert got[i] == sum(len(s[a:b].encode()) if k == 0 else 1 for k, (a, b) in zip(e.ids, e.offsets)), t
     assert token_counts.count_tokens(spark, docs_of(spark, [])).count() == 0
+
+
+def test_posting_lists_do_not_depend_on_batches():
+    tokens = [1, 2, 2, 3, 4, 4, 4, 5, 6, 6]
+    n = len(tokens)
+    meta = [(10 << 30) | 1] * n
+    names = ["token", "sid", "meta", "m1", "m2", "doc"]
+    whole = pa.RecordBatch.from_pydict(dict(zip(names, (tokens, list(range(n)), meta, [7] * n, [9] * n, list(range(n))))))
+    want = [i for i in range(n) if tokens.count(tokens[i]) > 1]
+    for size in (1, 2, 3, n):
+        parts = [whole.slice(i, size) for i in range(0, n, size)]
+        out = [r for b in line_dedup._led(80)(iter(parts)) for r in b.to_pylist()]
+        assert [r["sid"] for r in out] == want
+        assert [r["lead"] is None for r in out] == [tokens.index(r["token"]) == r["sid"] for r in out]
+
+
+def test_parity_maps_bound_the_difference():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 60, 30)).encode() for _ in range(40)]
+    _, h, at, _, sizes = line_dedup.line_words(texts)
+    sets = [set(h[a : a + k].tolist()) for a, k in zip(at, sizes)]
+    m1, m2 = (m.view(np.uint64) for m in line_dedup.parities(h, sizes))
+    for i in range(40):
+        for j in range(i):
+            assert int(np.bitwise_count(m1[i] ^ m1[j])) + int(np.bitwise_count(m2[i] ^ m2[j])) <= len(sets[i] ^ sets[j])

@@ -9,8 +9,8 @@ Words are ordered by rarity; the first n - o + 1 (o: the least overlap a partner
 prefix, and only lines that share a prefix word with a possible length and position are verified.
 A posting also holds parity maps of the line's words, which bound the number of differing words from
 below; pairs they rule out never leave the join.
-First each line is held against the earliest line of its posting lists, which settles groups of
-copies by a star; then the lines not yet gone are held against all earlier ones.
+First each line is held against the likeliest of the earliest and the nearest earlier lines of its posting
+lists, which settles most of a group of copies without its pairs; then the lines not yet gone are held against all earlier ones.
 
 Nulls: a null text stays null, with no lines. Rows that agree in doc_id and text are one row for the
 order and get the same result each. Only lines are cut; a document stays even if no line is left.
@@ -30,6 +30,9 @@ from .prefix_join import BROADCAST_IDS, TABLE_BITS, frequency_table, verify
 PERCENT = 80
 LEAST_WORDS = 5
 SEEN = 1 << 19
+#: Rows of a posting list that a row is first held against: its first one and the others just before.
+LEADS = 6
+NO_LEAD = 1 << 30
 
 
 def line_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -132,10 +135,20 @@ def _possible(x: str, y: str, percent: int) -> str:
     return f"100 * least({na}, {nb}) >= {percent} * greatest({na}, {nb}) and {100 + percent} * {most} >= {percent} * ({na} + {nb}) and {100 + percent} * {differ} <= {100 - percent} * ({na} + {nb})"
 
 
+def _differing(x: list[np.ndarray], y: list[np.ndarray], percent: int) -> np.ndarray:
+    """Bits in which the maps of postings differ, NO_LEAD where the filters of _possible rule the pair out."""
+    (na, pos), (nb, at) = ((c[2] >> 30, c[2] & ((1 << 30) - 1)) for c in (x, y))
+    most = np.minimum(pos, at) + np.minimum(na - pos, nb - at)
+    differ = sum(np.bitwise_count((x[i] ^ y[i]).view(np.uint64)).astype(np.int64) for i in (3, 4))  # of signed numbers it counts absolute values
+    fits = (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & ((100 + percent) * most >= percent * (na + nb)) & ((100 + percent) * differ <= (100 - percent) * (na + nb))
+    return np.where(fits, differ, NO_LEAD)
+
+
 def _led(percent: int):
     """Of rows (token, sid, meta, m1, m2, doc) sorted by token, doc, sid: those of tokens with more rows than one.
 
-    Adds lead: the first row's sid, where the filters allow a match with it. Memory: one batch.
+    Adds lead: of the first row and the rows just before, the sid whose parity map differs least, if
+    the filters allow a match; and differ, in how many bits. Memory: one batch.
     """
 
     def run(it):
@@ -155,17 +168,22 @@ def _led(percent: int):
             sizes = np.bincount(group + 1, minlength=len(starts) + 1)
             first = [np.where(group >= 0, c[starts[group]], going[i] if going is not None else 0) if len(starts) else np.full(len(c), going[i]) for i, c in enumerate(cols)]
             keep = (group < 0) | (sizes[group + 1] > 1)
-            (na, pos), (nb, at) = ((m >> 30, m & ((1 << 30) - 1)) for m in (cols[2], first[2]))
-            most = np.minimum(pos, at) + np.minimum(na - pos, nb - at)
-            differ = np.bitwise_count(cols[3] ^ first[3]).astype(np.int64) + np.bitwise_count(cols[4] ^ first[4])
-            fits = ~new & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & ((100 + percent) * most >= percent * (na + nb)) & ((100 + percent) * differ <= (100 - percent) * (na + nb))
+            place = np.arange(len(token))
+            begin = np.where(group >= 0, starts[group], 0) if len(starts) else np.zeros(len(token), dtype=np.int64)
+            lead, least = np.zeros(len(token), dtype=np.int64), np.full(len(token), NO_LEAD)
+            for back in range(LEADS):  # the first row, then those just before
+                other = [c[np.maximum(place - back, 0)] for c in cols] if back else first
+                differ = _differing(cols, other, percent)
+                better = ~new & (place - back >= begin) & (differ < least)
+                lead, least = np.where(better, other[1], lead), np.where(better, differ, least)
             if len(starts):
                 going = None
                 if sizes[-1] == 1:
                     held = batch.slice(batch.num_rows - 1, 1)
                 else:
                     going = [c[starts[-1]] for c in cols]
-            out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(first[1], pa.int64(), mask=~fits)], names=["token", "sid", "meta", "m1", "m2", "doc", "lead"])
+            none = least == NO_LEAD
+            out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(lead, pa.int64(), mask=none), pa.array(least, pa.int64(), mask=none)], names=["token", "sid", "meta", "m1", "m2", "doc", "lead", "differ"])
             yield out.filter(pa.array(keep))
 
     return run
@@ -186,7 +204,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) ->
     scratch.drop("indexed")
     meta = F.expr("shiftleft(n, 30) | cast(pos + 1 as long)").alias("meta")
     postings = classes.select("sid", "n", "m1", "m2", F.col("first.doc_id").alias("doc"), F.posexplode("prefix").alias("pos", "token")).select("token", "sid", meta, "m1", "m2", "doc")
-    led = postings.repartition("token").sortWithinPartitions("token", "doc", "sid").mapInArrow(_led(percent), f"token long, sid long, meta long, m1 long, m2 long, doc {kind}, lead long")
+    led = postings.repartition("token").sortWithinPartitions("token", "doc", "sid").mapInArrow(_led(percent), f"token long, sid long, meta long, m1 long, m2 long, doc {kind}, lead long, differ long")
     placed = scratch.write(led, "placed")
     del lines, postings, led
     scratch.drop()
@@ -206,11 +224,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) ->
         scratch.drop(f"{name}-wanted")
         return found
 
-    star = placed.filter("lead is not null").groupBy("sid", "lead").agg(F.count(F.lit(1)).alias("c")).groupBy("sid").agg(F.max(F.struct("c", "lead")).alias("best"))
+    star = placed.filter("lead is not null").groupBy("sid").agg(F.min(F.struct("differ", "lead")).alias("best"))
     gone = matched(star.select(F.col("best.lead").alias("a"), F.col("sid").alias("b")), "star")
     del star
     scratch.drop("star-wanted")
-    placed = placed.drop("lead")
+    placed = placed.drop("lead", "differ")
     late = placed.join(gone, "sid", "left_anti")
     x, y = (side.select(*(F.col(c).alias(f"{p}{c}") for c in placed.columns)) for side, p in ((placed, "x"), (late, "y")))
     rest = x.join(y, (x.xtoken == y.ytoken) & F.expr("coalesce(xdoc <= ydoc, xdoc is null) and xsid <> ysid and " + _possible("x", "y", percent))).select(F.col("xsid").alias("a"), F.col("ysid").alias("b"))
