@@ -79,7 +79,7 @@ def _index(table, percent: int):
         for batch in it:
             for part in chunks(batch.column(2).to_pylist()):
                 line, h, at, first, n = line_words([b for _, b in part])
-                rank = freq[(h & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)].astype(np.int64)
+                rank = freq[(h & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)]
                 size = n - -(-percent * n // 100) + 1
                 fit = n >= LEAST_WORDS
                 sid = set_ids(h, at, n) if len(at) else np.zeros(0, dtype=np.int64)

@@ -22,11 +22,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, chunks, mix, prepare, words
-from .prefix_join import TABLE_BITS, among, components, frequency_table, noise, plausible, set_id, shared_postings, sketch, verify
+from .prefix_join import among, components, count_of, frequency_table, noise, plausible, set_id, shared_postings, sketch, verify
 
 SHINGLE_WORDS = 5
 PERCENT = 75
@@ -34,6 +34,8 @@ PERCENT = 75
 MOST_MATCHES, POSTING_COST, VERIFY_COST = 4, 4.0, 16.0
 #: Texts of a task whose prefixes are remembered, so that copies in it are given out once.
 SEEN = 1 << 19
+#: Earlier tokens that a posting of the second round holds.
+EARLIER = 64
 
 
 def shingles(texts: list[bytes], k: int = SHINGLE_WORDS) -> list[np.ndarray]:
@@ -92,7 +94,7 @@ def _index(table, percent):
     """
 
     def run(it):
-        (freq, usual), seen = table.value, set()
+        (freq, usual), seen, counts = table.value, set(), count_of(np.arange(256))
         for batch in it:
             ids = batch.column(0)
             for part in chunks(batch.column(1).to_pylist()):
@@ -109,8 +111,9 @@ def _index(table, percent):
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(key)
-                    est = freq[(u & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)]
+                    est = freq[(u & np.uint64(len(freq) - 1)).astype(np.int64)]
                     order = np.argsort(est, kind="stable")
+                    est = counts[est]
                     m, size = plan_prefix(len(u), np.maximum(est[order] - usual, 0), percent)
                     matches.append(m)
                     prefix.append(u[order[:size]].view(np.int64))
@@ -146,6 +149,25 @@ def _possible(a: str, b: str, percent: int) -> str:
     return f"100 * least({x['n']}, {y['n']}) >= {percent} * greatest({x['n']}, {y['n']}) and greatest({x['tier']}, {y['tier']}) <= least({x['l']}, {y['l']}) and {100 + percent} * {most} >= {percent} * ({x['n']} + {y['n']})"
 
 
+def candidates(postings: DataFrame, percent: int) -> DataFrame:
+    """Rows (a, b, c, need) of pairs a < b of postings (token, sid, meta, root) with different roots; sum(c) >= need for all that may be linked.
+
+    Each posting holds its set's EARLIER tokens before it, so a pair is given out at the token where it
+    has shared enough and not at each further one; there the number shared so far is exact, which makes
+    the positional filter sharp. Sets of more tokens than EARLIER know only the latest of them: a pair of
+    such a set may come once for each token it needs.
+    """
+    own = Window.partitionBy("sid").orderBy(F.expr(_POS.format("meta")), "token")
+    held = postings.withColumn("before", F.collect_list("token").over(own.rowsBetween(-EARLIER, -1))).withColumn("whole", F.count(F.lit(1)).over(Window.partitionBy("sid")) <= EARLIER)
+    x, y = (held.select("token", *(F.col(c).alias(f"{side}_{c}") for c in ("sid", "meta", "root", "before", "whole"))) for side in "ab")
+    need, both = f"least({_L.format('a_meta')}, {_L.format('b_meta')})", "size(array_intersect(a_before, b_before))"
+    m, n = _terms("a_meta", percent), _terms("b_meta", percent)
+    most = f"({need} + least({m['n']} - {m['pos']}, {n['n']} - {n['pos']}))"
+    now = f"case when a_whole and b_whole then {100 + percent} * {most} >= {percent} * ({m['n']} + {n['n']}) and {both} = {need} - 1 else {both} < {need} end"
+    found = x.join(y, (x.token == y.token) & F.expr(f"a_sid < b_sid and a_root <> b_root and {_possible('a_meta', 'b_meta', percent)} and {now}"))
+    return found.select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b"), F.expr(f"case when a_whole and b_whole then {need} else 1L end").alias("c"), F.expr(need).alias("need"))
+
+
 def jaccard_components(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text)."""
     prepare(spark)
@@ -174,7 +196,6 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, percent: int = PERC
         scratch.drop(f"{name}-ids")
         return links
 
-    need = f"least({_L.format('ma')}, {_L.format('mb')})"
     star = shared.filter("sid <> lead").filter(_possible("meta", "lead_meta", percent)).groupBy("sid", "lead").agg(F.count(F.lit(1)).alias("c"), F.max(F.expr("least(meta & 15L, lead_meta & 15L)")).alias("need")).filter("c >= need")
     star = star.groupBy("sid").agg(F.max(F.struct("c", "lead")).alias("best")).select(F.least("sid", "best.lead").alias("a"), F.greatest("sid", "best.lead").alias("b"))
     links = linked(star, "star")
@@ -185,14 +206,12 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, percent: int = PERC
     open_ = scratch.write(placed.join(mixed, "token"), "open")
     del placed, mixed
     scratch.drop("placed", "shared")
-    x = open_.select("token", F.col("sid").alias("a"), F.col("meta").alias("ma"), F.col("root").alias("ra"))
-    y = open_.select("token", F.col("sid").alias("b"), F.col("meta").alias("mb"), F.col("root").alias("rb"))
-    rest = x.join(y, (x.token == y.token) & F.expr("a < b and ra <> rb and " + _possible("ma", "mb", percent))).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max(F.expr(need)).alias("need")).filter("c >= need").select("a", "b")
+    rest = candidates(open_, percent).groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("need").alias("need")).filter("c >= need").select("a", "b")
     more = linked(rest, "rest")
     roots = components(spark, links.union(more), scratch, "last")
     by_root = reps.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("sid", F.coalesce("root", "sid").alias("root"), "id")
     least = by_root.groupBy("root").agg(F.min("id").alias("component_id"))
     named = scratch.write(by_root.join(least, "root").select("sid", "component_id"), "named")
-    del rest, x, y, by_root, least, roots
+    del rest, by_root, least, roots
     scratch.drop("open", "sketches", "first", "star-pairs", "rest-pairs", "star-links", "rest-links")
     return members.select("doc_id", "sid", F.col("n").alias("n_shingles")).join(named, "sid", "left").select("doc_id", "n_shingles", F.expr("case when sid is null then doc_id else component_id end").alias("component_id"))

@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Counters of the frequency table: 16 MB at any size of the corpus.
+#: Counters of a frequency table, a byte each once summed: 4 MB at any size of the corpus.
 TABLE_BITS = 22
+#: Steps of a summed counter for each doubling.
+STEPS = 8
 #: Candidate ids up to this many are broadcast to the texts (under 10 MB); more are joined by shuffle.
 BROADCAST_IDS = 200_000
 
@@ -29,14 +31,24 @@ def set_id(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def level(counts: np.ndarray) -> np.ndarray:
+    """Counts on a scale of STEPS levels for each doubling; up to 8 no two share a level."""
+    return np.minimum(np.rint(STEPS * np.log2(counts + 1.0)), 255).astype(np.uint8)
+
+
+def count_of(levels: np.ndarray) -> np.ndarray:
+    """What the levels stand for, about."""
+    return np.rint(np.exp2(levels / STEPS) - 1)
+
+
 class Counts:
     """Saturating counts of tokens by bucket; given out in chunks, dense or sparse, whichever is smaller."""
 
-    def __init__(self):
-        self.table = np.zeros(1 << TABLE_BITS, dtype=np.uint16)
+    def __init__(self, bits: int):
+        self.bits, self.table = bits, np.zeros(1 << bits, dtype=np.uint16)
 
     def add(self, tokens: np.ndarray) -> None:
-        at, n = np.unique((tokens & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int32), return_counts=True)
+        at, n = np.unique((tokens & np.uint64((1 << self.bits) - 1)).astype(np.int32), return_counts=True)
         self.table[at] = np.minimum(self.table[at].astype(np.int64) + n, 65535)
 
     def batches(self) -> Iterator[pa.RecordBatch]:
@@ -52,40 +64,48 @@ class Counts:
 
 
 def _sum_chunks(it):
-    """Sums of a task's chunks, one row a chunk; memory: the table's size at most."""
-    total: dict[int, np.ndarray] = {}
+    """Levels of the sums of rows sorted by chunk, one row a chunk; memory: one chunk."""
+    last, own = None, np.zeros(1 << 16, dtype=np.int64)
+
+    def row():
+        return pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([level(own).tobytes()], pa.binary())], names=["chunk", "data"])
+
     for batch in it:
         for chunk, size, small, data in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            own = total.setdefault(chunk, np.zeros(1 << 16, dtype=np.int64))
+            if chunk != last:
+                if last is not None:
+                    yield row()
+                last, own = chunk, np.zeros(1 << 16, dtype=np.int64)
             kind = np.uint8 if small else np.uint16
             if size < 0:
                 own += np.frombuffer(data, dtype=kind)
             else:
                 own[np.frombuffer(data, dtype=np.uint16, count=size)] += np.frombuffer(data, dtype=kind, offset=2 * size)
-    for chunk, own in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([np.minimum(own, (1 << 31) - 1).astype(np.int32).tobytes()], pa.binary())], names=["chunk", "data"])
+    if last is not None:
+        yield row()
 
 
-def frequency_table(rows: DataFrame, tokens_of: Callable) -> np.ndarray:
-    """Counts by bucket over all rows. tokens_of(record batch) yields arrays of token hashes."""
+def frequency_table(rows: DataFrame, tokens_of: Callable, bits: int = TABLE_BITS) -> np.ndarray:
+    """Levels of the counts by bucket over all rows. tokens_of(record batch) yields arrays of token hashes."""
 
     def count(it):
-        c = Counts()
+        c = Counts(bits)
         for batch in it:
             for tokens in tokens_of(batch):
                 c.add(tokens)
         yield from c.batches()
 
-    sums = rows.mapInArrow(count, "chunk int, size int, small boolean, data binary").repartition("chunk").mapInArrow(_sum_chunks, "chunk int, data binary").toArrow()
-    table = np.zeros((1 << (TABLE_BITS - 16), 1 << 16), dtype=np.int32)
-    for chunk, data in zip(sums.column("chunk").to_pylist(), sums.column("data").to_pylist()):
-        table[chunk] = np.frombuffer(data, dtype=np.int32)
+    parts = rows.mapInArrow(count, "chunk int, size int, small boolean, data binary").repartition("chunk").sortWithinPartitions("chunk")
+    sums = parts.mapInArrow(_sum_chunks, "chunk int, data binary").toArrow()
+    table = np.zeros((1 << (bits - 16), 1 << 16), dtype=np.uint8)
+    for chunk, data in zip(sums.column("chunk"), sums.column("data")):
+        table[chunk.as_py()] = np.frombuffer(data.as_buffer(), dtype=np.uint8)
     return table.reshape(-1)
 
 
 def noise(table: np.ndarray) -> int:
-    """What a bucket holds without any frequent token, about: mean and two deviations."""
-    m = float(np.median(table))
+    """What a bucket of a frequency table counts without any frequent token, about: mean and two deviations."""
+    m = float(count_of(np.searchsorted(np.cumsum(np.bincount(table, minlength=256)), (len(table) + 1) // 2)))
     return int(m + 2 * m**0.5) + 1
 
 
