@@ -128,15 +128,19 @@ _N, _POS = "shiftright({}, 30)", "({} & 1073741823L)"
 
 
 def _possible(x: str, y: str, percent: int) -> str:
-    """Length filter, positional filter, and that the parity maps allow so few differing words; x and y prefix the columns."""
+    """Length filter, positional filter, and that the parity maps allow so few differing words; x and y prefix the columns.
+
+    The positional filter takes the word for the first that the lines share. Every match passes it there,
+    which is enough for it to leave the join; at its later words fewer do.
+    """
     na, nb, pa_, pb = _N.format(f"{x}meta"), _N.format(f"{y}meta"), _POS.format(f"{x}meta"), _POS.format(f"{y}meta")
-    most = f"(least({pa_}, {pb}) + least({na} - {pa_}, {nb} - {pb}))"
+    most = f"(1 + least({na} - {pa_}, {nb} - {pb}))"
     differ = f"(bit_count({x}m1 ^ {y}m1) + bit_count({x}m2 ^ {y}m2))"
     return f"100 * least({na}, {nb}) >= {percent} * greatest({na}, {nb}) and {100 + percent} * {most} >= {percent} * ({na} + {nb}) and {100 + percent} * {differ} <= {100 - percent} * ({na} + {nb})"
 
 
 def _differing(x: list[np.ndarray], y: list[np.ndarray], percent: int) -> np.ndarray:
-    """Bits in which the maps of postings differ, NO_LEAD where the filters of _possible rule the pair out."""
+    """Bits in which the maps of postings differ, NO_LEAD where length, position or maps rule the pair out."""
     (na, pos), (nb, at) = ((c[2] >> 30, c[2] & ((1 << 30) - 1)) for c in (x, y))
     most = np.minimum(pos, at) + np.minimum(na - pos, nb - at)
     differ = sum(np.bitwise_count((x[i] ^ y[i]).view(np.uint64)).astype(np.int64) for i in (3, 4))  # of signed numbers it counts absolute values
