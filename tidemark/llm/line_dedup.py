@@ -149,10 +149,10 @@ def _differing(x: list[np.ndarray], y: list[np.ndarray], percent: int) -> np.nda
 
 
 def _led(percent: int):
-    """Of rows (token, sid, meta, m1, m2, doc) sorted by token, doc, sid: those of tokens with more rows than one.
+    """For rows (token, sid, meta, m1, m2, doc) sorted by token, doc, sid: sid, and the likeliest lead.
 
-    Adds lead: of the first row and the rows just before, the sid whose parity map differs least, if
-    the filters allow a match; and differ, in how many bits. Memory: one batch.
+    lead: of the token's first row and the rows just before, the sid whose parity map differs least, if
+    the filters allow a match; differ: in how many bits. Memory: one batch.
     """
 
     def run(it):
@@ -171,7 +171,6 @@ def _led(percent: int):
             starts, group = np.flatnonzero(new), np.cumsum(new) - 1  # -1: goes on from the batch before
             sizes = np.bincount(group + 1, minlength=len(starts) + 1)
             first = [np.where(group >= 0, c[starts[group]], going[i] if going is not None else 0) if len(starts) else np.full(len(c), going[i]) for i, c in enumerate(cols)]
-            keep = (group < 0) | (sizes[group + 1] > 1)
             place = np.arange(len(token))
             begin = np.where(group >= 0, starts[group], 0) if len(starts) else np.zeros(len(token), dtype=np.int64)
             lead, least = np.zeros(len(token), dtype=np.int64), np.full(len(token), NO_LEAD)
@@ -186,9 +185,8 @@ def _led(percent: int):
                     held = batch.slice(batch.num_rows - 1, 1)
                 else:
                     going = [c[starts[-1]] for c in cols]
-            none = least == NO_LEAD
-            out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(lead, pa.int64(), mask=none), pa.array(least, pa.int64(), mask=none)], names=["token", "sid", "meta", "m1", "m2", "doc", "lead", "differ"])
-            yield out.filter(pa.array(keep))
+            found = least < NO_LEAD
+            yield pa.RecordBatch.from_arrays([pa.array(x[found], pa.int64()) for x in (cols[1], lead, least)], names=["sid", "lead", "differ"])
 
     return run
 
@@ -207,10 +205,13 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) ->
     firsts = classes.select("sid", "first", "copies")
     scratch.drop("indexed")
     meta = F.expr("shiftleft(n, 30) | cast(pos + 1 as long)").alias("meta")
-    postings = classes.select("sid", "n", "m1", "m2", F.col("first.doc_id").alias("doc"), F.posexplode("prefix").alias("pos", "token")).select("token", "sid", meta, "m1", "m2", "doc")
-    led = postings.repartition("token").sortWithinPartitions("token", "doc", "sid").mapInArrow(_led(percent), f"token long, sid long, meta long, m1 long, m2 long, doc {kind}, lead long, differ long")
-    placed = scratch.write(led, "placed")
-    del lines, postings, led
+
+    def postings(of: DataFrame) -> DataFrame:
+        return of.select("sid", "n", "m1", "m2", F.col("first.doc_id").alias("doc"), F.posexplode("prefix").alias("pos", "token")).select("token", "sid", meta, "m1", "m2", "doc")
+
+    led = postings(classes).repartition("token").sortWithinPartitions("token", "doc", "sid").mapInArrow(_led(percent), "sid long, lead long, differ long")
+    star = scratch.write(led.groupBy("sid").agg(F.min(F.struct("differ", "lead")).alias("best")), "star")
+    del lines, led
     scratch.drop()
 
     def matched(pairs: DataFrame, name: str) -> DataFrame:
@@ -228,20 +229,19 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) ->
         scratch.drop(f"{name}-wanted")
         return found
 
-    star = placed.filter("lead is not null").groupBy("sid").agg(F.min(F.struct("differ", "lead")).alias("best"))
     gone = matched(star.select(F.col("best.lead").alias("a"), F.col("sid").alias("b")), "star")
     del star
-    scratch.drop("star-wanted")
-    placed = placed.drop("lead", "differ")
-    late = placed.join(gone, "sid", "left_anti")
-    x, y = (side.select(*(F.col(c).alias(f"{p}{c}") for c in placed.columns)) for side, p in ((placed, "x"), (late, "y")))
+    scratch.drop("star-wanted", "star")
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    late = classes.join(F.broadcast(gone) if few else gone, "sid", "left_anti")
+    x, y = (side.select(*(F.col(c).alias(f"{p}{c}") for c in side.columns)) for side, p in ((postings(classes), "x"), (postings(late), "y")))
     rest = x.join(y, (x.xtoken == y.ytoken) & F.expr("coalesce(xdoc <= ydoc, xdoc is null) and xsid <> ysid and " + _possible("x", "y", percent))).select(F.col("xsid").alias("a"), F.col("ysid").alias("b"))
     done = spark.read.parquet(f"{scratch.base}/star-pairs")
     more = matched(rest.distinct().join(done, ["a", "b"], "left_anti"), "rest")
     bad = firsts.join(gone.union(more).withColumn("gone", F.lit(True)), "sid", "left").filter("copies > 1 or gone").select("sid", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
     cut = slim.join(bad, "sid").filter("gone or row <> first.row or line <> first.line")
     cut = scratch.write(cut.select("row", "line").distinct().groupBy("row").agg(F.collect_list("line").alias("removed_lines")), "cut")  # a text's own lines
-    scratch.drop("placed", "classes", "lines", "star-pairs", "rest-pairs", "star-gone", "rest-gone")
+    scratch.drop("classes", "lines", "star-pairs", "rest-pairs", "star-gone", "rest-gone")
     names = [c for c in docs.columns if c != "removed_lines"]
     carried = docs.select(*(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names)), F.xxhash64("doc_id", "text").alias("_row"))
     both = carried.join(cut, carried._row == cut.row, "left")
