@@ -31,7 +31,7 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = line_dedup.dedup_lines(spark, docs.select(*COLUMNS))
+    found = line_dedup.dedup_lines(spark, docs.select(*COLUMNS), least_words=line_dedup.ALL_LINES)
     return found.withColumn("n_chars", F.when(F.col("removed_lines").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
 
 

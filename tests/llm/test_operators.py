@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("tidemark.llm")
 
+import corpus_pipeline  # noqa: E402
 from tidemark.llm import ann, boosting, fingerprint, language_id, line_dedup, ngram_join, packing, sampling, token_counts, toxicity, url_filter  # noqa: E402
 from tidemark.llm.pieces import Vocabulary, default_model  # noqa: E402
 
@@ -95,6 +96,26 @@ def test_lines_equal_brute_force(spark):
     assert got == cut
 
 
+def test_short_lines_equal_brute_force(spark):
+    """Every line with a word takes part in the query and in the pipeline's stage."""
+    rng = np.random.default_rng(8)
+    lines = [" ".join(rng.choice([f"u{i}" for i in range(9)], rng.integers(0, 8))) for _ in range(240)] + ["漢字かな交じり文", "a b c d", "d c b a", "a b c d e", "漢字かな交じり文", "", ""]
+    rows = [(i, "\n".join(lines[4 * i : 4 * i + 4])) for i in range(62)]
+    seen, cut = [], {}
+    for i, t in rows:
+        for k, line in enumerate(t.split("\n")):
+            w = frozenset(line.split())
+            if w and any(100 * len(w & v) >= line_dedup.PERCENT * len(w | v) for v in seen):
+                cut.setdefault(i, set()).add(k)
+            seen.append(w)
+    df = docs_of(spark, rows)
+    got = {r.doc_id: set(r.removed_lines) for r in line_dedup.dedup_lines(spark, df, least_words=line_dedup.ALL_LINES).collect() if r.removed_lines}
+    assert got == cut and len({len(lines[4 * i + k].split()) for i in cut for k in cut[i]} & {1, 2, 3, 4}) == 4
+    full = df.select("doc_id", "text", F.lit(None).cast("string").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"))
+    left = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in cut.get(i, ())) for i, t in rows}
+    assert {r.doc_id: r.text for r in corpus_pipeline.without_repeated_lines(spark, full, "").collect()} == left
+
+
 def test_languages(spark):
     rng = np.random.default_rng(1)
     make = lambda letters, n: " ".join("".join(rng.choice(list(letters), 5)) for _ in range(n))

@@ -3,7 +3,8 @@
 A line is the set of its words. Two lines match when the Jaccard similarity of their sets is at least
 PERCENT / 100. A line goes if an earlier line of the corpus matches it; earlier means smaller
 (doc_id, hash of the row, line number), and a line that itself goes still counts as earlier. Lines of
-fewer than LEAST_WORDS different words always stay.
+fewer than least_words different words stay: with 1, only lines without a word. Sets too small to match
+any but equal ones (at 80 %: up to 3 words) have their class and no postings.
 
 Words are ordered by rarity; the first n - o + 1 (o: the least overlap a partner can have) make the
 prefix, and only lines that share a prefix word with a possible length and position are verified.
@@ -29,6 +30,8 @@ from .prefix_join import BROADCAST_IDS, TABLE_BITS, frequency_table, verify
 
 PERCENT = 80
 LEAST_WORDS = 5
+#: Least words with which every line that has a word takes part.
+ALL_LINES = 1
 SEEN = 1 << 19
 #: Rows of a posting list that a row is first held against: its first one and the others just before.
 LEADS = 6
@@ -71,8 +74,11 @@ def _tokens(batch: pa.RecordBatch):
         yield line_words([b for _, b in part])[1]
 
 
-def _index(table, percent: int):
-    """A row (row, doc_id, line, sid, n, prefix, m1, m2) for each line; the prefix is empty after the first of equal sets in a task."""
+def _index(table, percent: int, least_words: int):
+    """A row (row, doc_id, line, sid, n, prefix, m1, m2) for each line.
+
+    The prefix is empty after the first of equal sets in a task, and for sets that match only equal ones.
+    """
 
     def run(it):
         freq, seen = table.value, set()
@@ -81,7 +87,8 @@ def _index(table, percent: int):
                 line, h, at, first, n = line_words([b for _, b in part])
                 rank = freq[(h & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)]
                 size = n - -(-percent * n // 100) + 1
-                fit = n >= LEAST_WORDS
+                fit = n >= least_words
+                joins = 100 * n >= percent * (n + 1)  # a set of one word more could match
                 sid = set_ids(h, at, n) if len(at) else np.zeros(0, dtype=np.int64)
                 order = np.lexsort((rank, line))  # ties stay in order of hash
                 ranked = h[order].view(np.int64)
@@ -90,8 +97,8 @@ def _index(table, percent: int):
                 rows, ids = batch.column(0).slice(part[0][0], len(part)), batch.column(1).slice(part[0][0], len(part))
                 keep = np.flatnonzero(fit)
                 fresh = np.zeros(len(keep), dtype=bool)
-                for i, key in enumerate(sid[keep].tolist()):
-                    if key not in seen:
+                for i, (key, wide) in enumerate(zip(sid[keep].tolist(), joins[keep].tolist())):
+                    if wide and key not in seen:
                         if len(seen) >= SEEN:
                             seen.clear()
                         seen.add(key)
@@ -191,14 +198,14 @@ def _led(percent: int):
     return run
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def dedup_lines(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
     """docs (doc_id, text, ...) with text cut, and array removed_lines (numbers from 0; null: none) added."""
     prepare(spark)
     scratch = Scratch(spark, "lines")
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
     table = spark.sparkContext.broadcast(frequency_table(docs.select("text"), _tokens))
-    lines = scratch.write(keyed.mapInArrow(_index(table, percent), f"row long, doc_id {kind}, line long, sid long, n long, prefix array<long>, m1 long, m2 long"), "indexed")
+    lines = scratch.write(keyed.mapInArrow(_index(table, percent, least_words), f"row long, doc_id {kind}, line long, sid long, n long, prefix array<long>, m1 long, m2 long"), "indexed")
     slim = scratch.write(lines.select("row", "doc_id", "line", "sid"), "lines")
     classes = lines.groupBy("sid").agg(F.min(F.struct("doc_id", "row", "line")).alias("first"), F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("n", "m1", "m2")), F.max("prefix").alias("prefix"))
     classes = scratch.write(classes, "classes")

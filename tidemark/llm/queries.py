@@ -37,7 +37,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = line_dedup.dedup_lines(spark, docs)
+    found = line_dedup.dedup_lines(spark, docs, least_words=line_dedup.ALL_LINES)
     return found.select("doc_id", F.coalesce(F.size("removed_lines"), F.lit(0)).alias("n_removed"), "text")
 
 
