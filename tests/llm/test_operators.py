@@ -155,6 +155,20 @@ def test_toxicity(spark):
     assert toxicity.rate(spark, docs_of(spark, rows[:3]), labels.filter("doc_id < 0")).agg(F.max("score")).first()[0] == 0
 
 
+def test_second_person_words_near_any_hit():
+    features, near = toxicity.Features([]), toxicity.NAMES.index("second_near")
+    few, many = (features("idiot x " * n + "you idiot")[near : near + 2] for n in (300, 200_010))
+    # before the word, hits end 4, 12, 20, 28 and 36 characters from its start; the one after it, 8
+    assert few == [6 / 301, 1 / 5] and many == [6 / 200_011, 1 / 5]
+    rng = np.random.default_rng(7)
+    for _ in range(40):
+        text = " ".join(rng.choice(["idiot", "you", "bayou", "yourself", "river", "trash", "xyzzyxyzzy"], 50))
+        starts = [m.start() for m in toxicity.SECOND.finditer(text)]
+        gaps = [min((abs(s - e) for s in starts if e - toxicity.NEAR <= s < e + toxicity.NEAR), default=None) for e, _, _ in features.hits(text)]
+        close = [g for g in gaps if g is not None]
+        assert features(text)[near : near + 2] == [len(close) / max(1, len(gaps)), 1 / (1 + min(close)) if close else 0.0]
+
+
 def test_fingerprints(spark):
     rng = np.random.default_rng(4)
     rows = [(i, "".join(rng.choice(list("abcdefgh ijklm\n"), rng.integers(0, 900)))) for i in range(60)] + [(100, None), (101, "é" * 41), (102, "same text"), (103, "same text")]

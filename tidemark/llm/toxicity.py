@@ -50,6 +50,21 @@ _MASK[[ord(c) for c in "0134579@$!|+*_"]] = True
 _PUNCT = np.array([c for c in range(33, 127) if not chr(c).isalnum()])
 
 
+def nearest(ends: np.ndarray, low: str) -> np.ndarray:
+    """From each end to the nearest start of a second-person word of the whole text, over all of its hits.
+
+    A start counts from NEAR characters before the end to NEAR - 1 after it; without one: NEAR + 1.
+    """
+    starts = np.fromiter((m.start() for m in SECOND.finditer(low)) if len(ends) else (), dtype=np.int64)
+    if not len(starts):
+        return np.full(len(ends), NEAR + 1)
+    at = np.searchsorted(starts, ends)
+    before, after = ends - starts[np.maximum(at - 1, 0)], starts[np.minimum(at, len(starts) - 1)] - ends
+    before[(before < 0) | (before > NEAR)] = NEAR + 1
+    after[(after < 0) | (after >= NEAR)] = NEAR + 1
+    return np.minimum(before, after)
+
+
 class Features:
     def __init__(self, stems: list[str]):
         import ahocorasick
@@ -80,19 +95,15 @@ class Features:
         n_words = max(1, int(np.count_nonzero(letter[1:] & ~letter[:-1])) + int(letter[0]))
         low = text.lower()
         hits = self.hits(low)
-        gaps = []
-        for end, _, _ in hits[:200_000]:
-            lo = max(0, end - NEAR)
-            near = [abs(m.start() + lo - end) for m in SECOND.finditer(low[lo : end + NEAR])]
-            gaps.append(min(near, default=None))
-        close = [g for g in gaps if g is not None]
+        gaps = nearest(np.array([h[0] for h in hits], dtype=np.int64), low)
+        close = gaps[gaps <= NEAR]
         masked = int(np.count_nonzero(_MASK[b[1:-1]] & letter[:-2] & letter[2:])) if len(b) > 2 else 0
         unmasked = max(0, len(self.hits(low.translate(UNMASK))) - len(hits)) if masked else 0
         upper = _UPPER[b]
         same = int(np.count_nonzero((b[2:] == b[1:-1]) & (b[1:-1] == b[:-2]) & letter[2:])) if len(b) > 2 else 0
         return [
             sum(h[1] for h in hits) / n_words, sum(h[2] for h in hits) / n_words, float(np.log1p(len(hits))),
-            len(close) / max(1, len(hits)), 1 / (1 + min(close)) if close else 0.0,
+            len(close) / max(1, len(hits)), 1 / (1 + int(close.min())) if len(close) else 0.0,
             unmasked / n_words, masked / n_words, int(c[65:91].sum()) / n_letters,
             int(np.count_nonzero(upper[1:] & upper[:-1])) / n_letters, c[33] / n_words, c[63] / n_words,
             int(c[_PUNCT].sum()) / n_words, int(c[48:58].sum()) / n_words, same / n_letters, float(np.log1p(n_words)),
