@@ -62,6 +62,18 @@ def test_components_equal_brute_force(spark):
     assert got == {(i, len(s), find(i)) for i, s in sets.items()}
 
 
+def test_links_equal_brute_force(spark):
+    rows = near_rows() + [(9_000, near_rows()[0][1]), (9_001, "one two"), (9_002, None)]
+    sets = {i: shingle_set(t) for i, t in rows}
+    least = {}
+    for i in sorted(sets):
+        least.setdefault(frozenset(sets[i]), i)
+    want = {(a, b) for a, b in combinations(sorted(least.values()), 2) if (n := len(sets[a] & sets[b])) and 100 * n >= 75 * len(sets[a] | sets[b])}
+    got = [(min(r.a_doc, r.b_doc), max(r.a_doc, r.b_doc)) for r in ngram_join.jaccard_links(spark, docs_of(spark, rows)).collect()]
+    root = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(spark, docs_of(spark, rows)).collect()}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > len(sets) - 2 - len(set(root.values()))  # more than a star a component
+
+
 def test_components_of_odd_rows(spark):
     got = [tuple(r) for r in ngram_join.jaccard_components(spark, docs_of(spark)).collect()]
     assert len(got) == len(ODD) and (1, 0, 1) in got and (6, 0, 6) in got and (None, 56, 4) in got and got.count((3, 1, 3)) == 2

@@ -10,7 +10,8 @@ smaller l of its two documents.
 Links are looked for in two rounds. First every set is compared with the first set of each of its
 posting lists, which joins groups of near copies by a star and not by all their pairs. Then all
 pairs that share enough prefix tokens and are not in one component yet are compared. What is left
-out lies within a component, so components are exact.
+out lies within a component, so components are exact. jaccard_links gives all links between classes of
+equal sets instead: all pairs that share enough prefix tokens are compared, whatever their components.
 
 Nulls: a null text has no words. Without words: n_shingles 0, linked with nothing, component_id is
 the row's own doc_id. Fewer than five words: the whole sequence is the one shingle. Repeated rows
@@ -170,6 +171,15 @@ def candidates(postings: DataFrame, percent: int) -> DataFrame:
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text)."""
+    return _join(spark, docs, percent, False)
+
+
+def jaccard_links(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b, a_doc, b_doc) for each two classes of equal sets, set ids a < b, that link; the last two are their least doc_ids."""
+    return _join(spark, docs, percent, True)
+
+
+def _join(spark: SparkSession, docs: DataFrame, percent: int, all_links: bool) -> DataFrame:
     prepare(spark)
     scratch = Scratch(spark, "ngram")
     docs = docs.select("doc_id", "text")
@@ -196,6 +206,15 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, percent: int = PERC
         scratch.drop(f"{name}-ids")
         return links
 
+    if all_links:
+        every = candidates(shared.select("token", "sid", "meta", F.col("sid").alias("root")), percent).groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("need").alias("need")).filter("c >= need").select("a", "b")
+        links = linked(every, "all")
+        for side in "ab":
+            links = links.join(reps.select(F.col("sid").alias(side), F.col("id").alias(f"{side}_doc")), side)
+        links = scratch.write(links.select("a", "b", "a_doc", "b_doc"), "links")
+        scratch.drop("shared", "sketches", "members", "all-pairs", "all-links")
+        return links
+
     star = shared.filter("sid <> lead").filter(_possible("meta", "lead_meta", percent)).groupBy("sid", "lead").agg(F.count(F.lit(1)).alias("c"), F.max(F.expr("least(meta & 15L, lead_meta & 15L)")).alias("need")).filter("c >= need")
     star = star.groupBy("sid").agg(F.max(F.struct("c", "lead")).alias("best")).select(F.least("sid", "best.lead").alias("a"), F.greatest("sid", "best.lead").alias("b"))
     links = linked(star, "star")
