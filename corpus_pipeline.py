@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import language_id, line_dedup, ngram_join, packing, toxicity
+from tidemark.llm.common import Scratch
 from tidemark.sources.tables import table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -36,9 +37,19 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = ngram_join.jaccard_components(spark, docs)
-    away = found.filter("not doc_id <=> component_id").select(F.col("doc_id").alias("_away")).distinct()
-    return docs.select(*COLUMNS).join(away, F.col("doc_id") == F.col("_away"), "left_anti")
+    """Rows are known by a hash of doc_id and text. The least doc_id of a group stays (null ids last), once; rows without a word are in no group."""
+    scratch = Scratch(spark, "groups")
+    rows = docs.select(*COLUMNS, F.xxhash64("doc_id", F.col("doc_id").isNull(), "text").alias("_row"))
+    found = ngram_join.jaccard_components(spark, rows.select(F.col("_row").alias("doc_id"), "text"))
+    group = found.filter("n_shingles > 0").groupBy("doc_id").agg(F.min("component_id").alias("group")).withColumnRenamed("doc_id", "_row")
+    ids = rows.groupBy("_row").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"))
+    placed = scratch.write(ids.join(group, "_row"), "placed")
+    first = placed.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "_row")).alias("first"), F.sum("copies").alias("size")).filter("size > 1")
+    marks = placed.join(first, "group").select("_row", (F.col("_row") != F.col("first._row")).alias("away"), "copies").filter("away or copies > 1")
+    marks = scratch.write(marks, "marks")
+    scratch.drop("placed")
+    one = rows.join(marks.filter("not away"), "_row", "left_semi").groupBy("_row").agg(F.min(F.struct(*COLUMNS)).alias("kept")).select("kept.*")
+    return rows.join(marks, "_row", "left_anti").select(*COLUMNS).union(one)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +70,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after another, each written to the shared folder and read again."""
-    from tidemark.llm.common import Scratch
-
     scratch, docs, before = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = scratch.write(stage(spark, docs, sf_dir), name)

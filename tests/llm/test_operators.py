@@ -74,6 +74,16 @@ def test_links_equal_brute_force(spark):
     assert len(got) == len(set(got)) and set(got) == want and len(want) > len(sets) - 2 - len(set(root.values()))  # more than a star a component
 
 
+def test_one_of_each_group_with_repeated_and_null_ids(spark):
+    near, other = BASE.replace("w30", "x30"), " ".join(f"z{i}" for i in range(30))
+    lone, nulls = " ".join(f"q{i}" for i in range(30)), " ".join(f"n{i}" for i in range(30))
+    rows = [(1, BASE, "b"), (1, BASE, "a"), (2, near, "a"), (None, BASE, "a"), (2, lone, "a"), (5, other, "a"), (4, other, "a"), (None, nulls, "a"), (None, nulls, "a"), (None, "alone here", "a"), (7, "", "a"), (7, "", "a")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((tuple(r) for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()), key=str)
+    want = [(1, BASE, "a"), (2, lone, "a"), (4, other, "a"), (None, nulls, "a"), (None, "alone here", "a"), (7, "", "a"), (7, "", "a")]
+    assert got == sorted(((i, t, "en", s, len(t)) for i, t, s in want), key=str)
+
+
 def test_components_of_odd_rows(spark):
     got = [tuple(r) for r in ngram_join.jaccard_components(spark, docs_of(spark)).collect()]
     assert len(got) == len(ODD) and (1, 0, 1) in got and (6, 0, 6) in got and (None, 56, 4) in got and got.count((3, 1, 3)) == 2
