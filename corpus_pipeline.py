@@ -19,8 +19,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def in_some_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The model learns from the labelled rows of its input; `und` goes."""
+    """The model learns from the labelled rows of its input; without any, all texts with a letter stay."""
     model = language_id.learn(docs)
+    if not model[0]:
+        return language_id.with_letter(spark, docs.select(*COLUMNS))
     found = language_id.predict(spark, docs.select(*COLUMNS[:1], *COLUMNS[2:], F.col("text").alias("kept"), "text"), model)
     return found.filter(F.col("lang_pred") != language_id.UND).select("doc_id", F.col("kept").alias("text"), "lang", "source", "n_chars")
 

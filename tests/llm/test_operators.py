@@ -153,6 +153,13 @@ def test_languages(spark):
     assert language_id.predict(spark, docs_of(spark, []), model).count() == 0
 
 
+def test_corpus_without_labels_keeps_texts_with_a_letter(spark):
+    docs = spark.createDataFrame([(i, t, None, "s", None) for i, t in ODD] + [(50, "12 !?", None, "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.in_some_language(spark, docs, "")
+    assert got.columns == corpus_pipeline.COLUMNS
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(((i, t) for i, t in ODD if t and t.strip()), key=str)
+
+
 def test_boosting_and_calibration():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 4))

@@ -213,6 +213,18 @@ def predict(spark: SparkSession, docs: DataFrame, model: tuple[list[str], np.nda
     return docs.select(*keep, "text").mapInArrow(run, f"{schema}, lang_pred string, score double, proportions map<string,double>")
 
 
+def with_letter(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The rows of docs whose text holds a letter: those that predict, with a language to choose, doesn't call `und`."""
+    prepare(spark)
+    at = docs.columns.index("text")
+
+    def run(it):
+        for batch in it:
+            yield batch.filter(pa.array([bool(t) and LETTER.search(t) is not None for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def remainder(n: int) -> Column:
     """crc32 of doc_id as text, modulo n; a null doc_id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(n))
