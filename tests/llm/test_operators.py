@@ -153,6 +153,15 @@ def test_languages(spark):
     assert language_id.predict(spark, docs_of(spark, []), model).count() == 0
 
 
+def test_language_sample_is_of_different_texts(spark):
+    texts = [f"{'abcde'[i % 5]}{'vwxyz'[i // 5 % 5]}{'klmno'[i // 25 % 5]} unlike{i}" for i in range(300)]
+    once = spark.createDataFrame([(t, "aa") for t in texts], "text string, lang string")
+    copied = spark.createDataFrame([(t, "aa") for t in texts + texts[:2] * 400], "text string, lang string")
+    for sample in (60, 1_000):  # copies change neither which texts are chosen nor their weight
+        (langs, a), (_, b) = (language_id.learn(df, sample=sample) for df in (once, copied))
+        assert langs == ["aa"] and np.array_equal(a, b) and len(np.unique(a)) > 1
+
+
 def test_corpus_without_labels_keeps_texts_with_a_letter(spark):
     docs = spark.createDataFrame([(i, t, None, "s", None) for i, t in ODD] + [(50, "12 !?", None, "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.in_some_language(spark, docs, "")

@@ -7,8 +7,8 @@ in order of their proportions in the fit over all languages, while the likelihoo
 (size - 1) * log(words) still rises. The prediction is the language with the largest proportion in
 the chosen set; the score is that proportion.
 
-Training uses about DOCS_PER_LANGUAGE whole texts of each language, chosen by a hash of the text: a
-bounded sample of labelled rows. Languages are those of the training rows, however many.
+Training uses about DOCS_PER_LANGUAGE different whole texts of each language, chosen by a hash of the
+text, once each: a bounded sample, however often texts repeat. Languages are those of the training rows, however many.
 
 Nulls: a null text, or one without a letter, is `und` with score 0. Rows without lang don't train.
 No training row at all: every text is `und`. Ties take the language first in order. Repeated rows
@@ -87,12 +87,12 @@ def _joined(owner: list[int], held: list[bytes]):
 def learn(rows: DataFrame, lang: str = "lang", sample: int = DOCS_PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """Languages in order and log-likelihoods by bucket and language, from rows (text, lang)."""
     rows = rows.select("text", F.col(lang).alias("lang")).filter("text is not null and lang is not null")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r.lang: r.n for r in rows.select("lang", F.xxhash64("text").alias("h")).distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(sizes)
     if not langs:
         return [], np.zeros((1 << BUCKET_BITS, 0), dtype=np.float32)
     share = F.create_map(*(F.lit(x) for k in langs for x in (k, min(1.0, sample / sizes[k]))))
-    chosen = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
+    chosen = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20)).distinct()  # copies drop out before the shuffle, as far as a task holds them
     at = {k: i for i, k in enumerate(langs)}
 
     def count(it):
