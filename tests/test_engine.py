@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark import config, schemas
+from tidemark import catalog, config, schemas
 from tidemark.config import DAY, Config
 from tidemark.functions import daily_max, duration_seconds, in_hours, reply_length, shown_time, slot_start
 from tidemark.operators import context, gate, memory, reactions, scans
@@ -205,6 +205,15 @@ def test_listing_and_context(spark):
     assert c["current_state"] == ["tired"] and c["unresolved_topics"][0]["related_date"] == "2026-09-29 (화)" and c["last_message_types"] == ["recall"] and c["today_proactive_count"] == 1
 
 
+def test_registered_context_has_forgotten_phrases(spark):
+    d = "/root/testdata/sf0.001"
+    got = {r.user_id: json.loads(r.context).get("forgotten") for r in catalog.queries()["context_documents"](spark, d).collect()}
+    want = {}
+    for r in spark.read.parquet(f"{d}/benchmark.parquet").orderBy("item_id").collect():
+        want.setdefault(r.item_id // 4, []).append(r.text)
+    assert got == {u: want.get(u) for u in got} and any(got.values()) and not all(got.values())
+
+
 def test_schedule(spark):
     sunday, monday = D0 - 2 * DAY, D0 - DAY
     rows = [(at(14, 59), at(15)), (at(15), at(15, 30)), (sunday + 23 * 3600 + 29 * 60, sunday + 23 * 3600 + 31 * 60), (monday + 23 * 3600 + 20 * 60, monday + DAY + 600)]

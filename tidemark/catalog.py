@@ -237,8 +237,7 @@ def context_documents(s, d):
     messages = log.select("user_id", "id", "ts", F.when(F.col("kind") == "user", "user").otherwise("assistant").alias("sender"), F.col("event_type").alias("text"))
     h = _hypotheses(s, d)
     states = adapters.updates(s, d).filter("user_stated").select("user_id", F.col("seq").alias("id"), "statement", F.col("seq").alias("created_at"), F.lit(AS_OF + 1).cast("long").alias("expires_at"))
-    forgotten = h.filter("false").select("user_id", "id", F.col("statement").alias("text"))
-    return context.documents(log.select("user_id"), messages, _episodes(s, d), h, states, _sends(s, d), forgotten, AS_OF, "proactive", SIX)
+    return context.documents(log.select("user_id"), messages, _episodes(s, d), h, states, _sends(s, d), adapters.forgotten(s, d), AS_OF, "proactive", SIX)
 
 
 def feedback_simulation(s, d):

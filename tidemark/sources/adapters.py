@@ -43,5 +43,10 @@ def updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("user_id", F.col("id").alias("seq"), F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("ts") / 86400).cast("int")).alias("day"), F.concat(F.lit("s"), F.floor(F.col("k") / 5).cast("int").cast("string")).alias("statement"), observation.alias("observation"), (F.col("k") % 17 == 0).alias("user_stated"), (F.col("k") % 13 == 0).alias("sensitive"))
 
 
+def forgotten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases that users asked to forget: user_id, id, text; four benchmark items for each of the first users."""
+    return table(spark, sf_dir, "benchmark").select(F.floor(F.col("item_id") / 4).cast("long").alias("user_id"), F.col("item_id").cast("long").alias("id"), "text")
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").filter("role <> 'system'").select(F.col("conv_id").alias("user_id"), F.col("turn").alias("id"), F.when(F.col("role") == "user", "user").otherwise("assistant").alias("sender"), "text")
