@@ -360,16 +360,32 @@ def test_token_counts(spark):
 
 
 def test_posting_lists_do_not_depend_on_batches():
-    tokens = [1, 2, 2, 3, 4, 4, 4, 5, 6, 6]
-    n = len(tokens)
-    meta = [(10 << 30) | 1] * n
+    rng = np.random.default_rng(11)
+    token = np.sort(rng.integers(0, 40, 900))
+    token[300:] = 7_000  # one long list
+    words = [rng.choice(60, 20, replace=False) for _ in token]
+    words = [words[i] if i % 3 else np.where(words[i - 1] == words[i - 1][0], 99, words[i - 1]) for i in range(len(words))]
+    _, h, _, _, sizes = line_dedup.line_words([" ".join(f"w{k}" for k in w).encode() for w in words])
+    m1, m2 = line_dedup.parities(h, sizes)
+    doc = np.arange(900) // 2
+    meta = (sizes << 30) | rng.integers(1, 5, 900)
     names = ["token", "sid", "meta", "m1", "m2", "doc"]
-    whole = pa.RecordBatch.from_pydict(dict(zip(names, (tokens, list(range(n)), meta, [7] * n, [9] * n, list(range(n))))))
-    want = [i for i in range(n) if tokens.index(tokens[i]) < i]
-    for size in (1, 2, 3, n):
-        parts = [whole.slice(i, size) for i in range(0, n, size)]
-        out = [r for b in line_dedup._led(80)(iter(parts)) for r in b.to_pylist()]
-        assert [r["sid"] for r in out] == want
+    whole = pa.RecordBatch.from_pydict(dict(zip(names, map(pa.array, (token, np.arange(900), meta, m1, m2, doc)))))
+
+    def fits(i, j):
+        (na, p), (nb, q) = ((int(meta[k]) >> 30, int(meta[k]) & ((1 << 30) - 1)) for k in (i, j))
+        differ = sum(bin((int(m[i]) ^ int(m[j])) & (2**64 - 1)).count("1") for m in (m1, m2))
+        return 100 * min(na, nb) >= 80 * max(na, nb) and 180 * (min(p, q) + min(na - p, nb - q)) >= 80 * (na + nb) and 180 * differ <= 20 * (na + nb)
+
+    want = {p for i in range(900) for j in range(i) if token[i] == token[j] and fits(i, j) for p in ([(i, j), (j, i)] if doc[i] == doc[j] else [(i, j)])}
+    assert len(want) > 200
+    for size in (1, 7, 100, 900):
+        parts = [whole.slice(i, size) for i in range(0, 900, size)]
+        out = [tuple(r.values()) for b in line_dedup._found(80, keep=10_000)(iter(parts)) for r in b.to_pylist()]
+        assert sorted((r[0], r[1]) for r in out) == sorted(want) and not any(r[3] for r in out), size
+        short = [r for b in line_dedup._found(80, list_rows=50, near=8, keep=1)(iter(parts)) for r in b.to_pylist()]
+        assert {(r["sid"], r["lead"]) for r in short if r["lead"] is not None} <= want
+        assert {r["sid"] for r in short if r["more"]} >= {i for i, _ in want} - {r["sid"] for r in short} | {i for i in range(400, 900)}
 
 
 def test_parity_maps_bound_the_difference():

@@ -10,8 +10,10 @@ Words are ordered by rarity; the first n - o + 1 (o: the least overlap a partner
 prefix, and only lines that share a prefix word with a possible length and position are verified.
 A posting also holds parity maps of the line's words, which bound the number of differing words from
 below; pairs they rule out never leave the join.
-First each line is held against the likeliest of the earliest and the nearest earlier lines of its posting
-lists, which settles most of a group of copies without its pairs; then the lines not yet gone are held against all earlier ones.
+Posting lists are read once, sorted: each line is held there against all others of the list, and its likeliest
+partner is verified first, which settles most of a group of copies without its pairs. Then the lines not yet gone
+are verified against the other partners found. Lists of over LIST_ROWS lines are compared in part where they are
+read, and lines with too many partners give out a few; of these lines the ones not yet gone are joined once more.
 
 Nulls: a null text stays null, with no lines. Rows that agree in doc_id and text are one row for the
 order and get the same result each. Only lines are cut; a document stays even if no line is left.
@@ -20,21 +22,27 @@ Empty table: no rows. Other columns are carried through, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import CHUNK_BYTES, Scratch, chunks, mix, prepare, words
-from .prefix_join import BROADCAST_IDS, TABLE_BITS, frequency_table, verify
+from .prefix_join import BROADCAST_IDS, ONCE, frequency_table, verify
 
 PERCENT = 80
 LEAST_WORDS = 5
 #: Least words with which every line that has a word takes part.
 ALL_LINES = 1
 SEEN = 1 << 19
-#: Rows of a posting list that a row is first held against: its first one and the others just before.
-LEADS = 6
+#: Posting lists up to this long are compared in full where they are read; of a longer one, NEAR first and NEAR latest rows.
+LIST_ROWS, NEAR = 16_384, 32
+#: Leads that a posting gives out at once; if there are more, the line is joined once more unless it has gone.
+KEEP = 4
+#: Lists up to this long are compared together, and of a longer one about so many pairs at once.
+SHORT, BLOCK = 24, 1 << 20
 NO_LEAD = 1 << 30
 
 
@@ -75,9 +83,9 @@ def _tokens(batch: pa.RecordBatch):
 
 
 def _index(table, percent: int, least_words: int):
-    """A row (row, doc_id, line, sid, n, prefix, m1, m2) for each line.
+    """A row (row, doc_id, line, sid, n, skip, prefix, m1, m2) for each line.
 
-    The prefix is empty after the first of equal sets in a task, and for sets that match only equal ones.
+    The prefix leaves out its first words, skip of them, that no other line has; their places still count. It is empty after the first of equal sets in a task, and for sets that match only equal ones.
     """
 
     def run(it):
@@ -85,7 +93,7 @@ def _index(table, percent: int, least_words: int):
         for batch in it:
             for part in chunks(batch.column(2).to_pylist()):
                 line, h, at, first, n = line_words([b for _, b in part])
-                rank = freq[(h & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)]
+                rank = freq[(h & np.uint64(len(freq) - 1)).astype(np.int64)]
                 size = n - -(-percent * n // 100) + 1
                 fit = n >= least_words
                 joins = 100 * n >= percent * (n + 1)  # a set of one word more could match
@@ -103,13 +111,15 @@ def _index(table, percent: int, least_words: int):
                             seen.clear()
                         seen.add(key)
                         fresh[i] = True
-                lengths = np.where(fresh, size[keep], 0)
+                alone = np.add.reduceat(rank <= ONCE, at) if len(at) else n  # words that no other line has come first
+                skip = np.minimum(alone, size)[keep].astype(np.int64)
+                lengths = np.where(fresh, size[keep] - skip, 0)
                 offsets = np.concatenate(([0], np.cumsum(lengths)))
-                where = np.repeat(at[keep] - offsets[:-1], lengths) + np.arange(offsets[-1])
+                where = np.repeat(at[keep] + skip - offsets[:-1], lengths) + np.arange(offsets[-1])
                 prefix = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ranked[where]))
                 take = pa.array(owner[keep])
                 m1, m2 = parities(h, n)
-                yield pa.RecordBatch.from_arrays([rows.take(take), ids.take(take), pa.array(number[keep] - first[owner[keep]], pa.int64()), pa.array(sid[keep]), pa.array(n[keep], pa.int64()), prefix, pa.array(m1[keep]), pa.array(m2[keep])], names=["row", "doc_id", "line", "sid", "n", "prefix", "m1", "m2"])
+                yield pa.RecordBatch.from_arrays([rows.take(take), ids.take(take), pa.array(number[keep] - first[owner[keep]], pa.int64()), pa.array(sid[keep]), pa.array(n[keep], pa.int64()), pa.array(skip, pa.int64()), prefix, pa.array(m1[keep]), pa.array(m2[keep])], names=["row", "doc_id", "line", "sid", "n", "skip", "prefix", "m1", "m2"])
 
     return run
 
@@ -146,54 +156,99 @@ def _possible(x: str, y: str, percent: int) -> str:
     return f"100 * least({na}, {nb}) >= {percent} * greatest({na}, {nb}) and {100 + percent} * {most} >= {percent} * ({na} + {nb}) and {100 + percent} * {differ} <= {100 - percent} * ({na} + {nb})"
 
 
-def _differing(x: list[np.ndarray], y: list[np.ndarray], percent: int) -> np.ndarray:
-    """Bits in which the maps of postings differ, NO_LEAD where length, position or maps rule the pair out."""
-    (na, pos), (nb, at) = ((c[2] >> 30, c[2] & ((1 << 30) - 1)) for c in (x, y))
-    most = np.minimum(pos, at) + np.minimum(na - pos, nb - at)
-    differ = sum(np.bitwise_count((x[i] ^ y[i]).view(np.uint64)).astype(np.int64) for i in (3, 4))  # of signed numbers it counts absolute values
-    fits = (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & ((100 + percent) * most >= percent * (na + nb)) & ((100 + percent) * differ <= (100 - percent) * (na + nb))
-    return np.where(fits, differ, NO_LEAD)
-
+def _found(percent: int, list_rows: int = LIST_ROWS, near: int = NEAR, keep: int = KEEP):
+    """For rows (token, sid, meta, m1, m2, doc) sorted by token, doc, sid: rows (sid, lead, differ, more).
 
-def _led(percent: int):
-    """For rows (token, sid, meta, m1, m2, doc) sorted by token, doc, sid: sid, and the likeliest lead.
-
-    lead: of the token's first row and the rows just before, the sid whose parity map differs least, if
-    the filters allow a match; differ: in how many bits. Memory: one batch.
+    lead: another sid of the token's list that length, position and maps allow to match, before the row in
+    the list or of the same document; differ: in how many bits their maps differ. Of each row the `keep`
+    leads that differ least are given; more says that there are others. A row of a list longer than
+    list_rows is held against the list's first and latest rows only and always has more, also without a
+    lead (null). Memory: one batch and one list of list_rows.
     """
 
+    def likely(c: list[np.ndarray], y: np.ndarray, x: np.ndarray, differ: np.ndarray) -> np.ndarray:
+        n, pos = c[2] >> 30, c[2] & ((1 << 30) - 1)
+        na, nb = n[x], n[y]
+        most = np.minimum(pos[x], pos[y]) + np.minimum(na - pos[x], nb - pos[y])
+        return (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & ((100 + percent) * most >= percent * (na + nb)) & ((100 + percent) * differ.astype(np.int64) <= (100 - percent) * (na + nb))
+
+    def short(c: list[np.ndarray], rows: np.ndarray) -> Iterator[tuple]:
+        """Pairs within the lists that these rows make, by distance in the list."""
+        token, m1, m2, room = c[0][rows], c[3][rows].view(np.uint64), c[4][rows].view(np.uint64), (100 - percent) * (c[2][rows] >> 30)
+        for back in range(1, SHORT):
+            at = np.flatnonzero(token[back:] == token[:-back])
+            if not len(at):
+                return
+            differ = np.bitwise_count(m1[at + back] ^ m1[at]) + np.bitwise_count(m2[at + back] ^ m2[at])
+            ok = (100 + percent) * differ.astype(np.int64) <= room[at + back] + room[at]
+            yield rows[at[ok] + back], rows[at[ok]], differ[ok]
+
+    def wide(c: list[np.ndarray], lo: int, hi: int, old: int) -> Iterator[tuple]:
+        """Pairs within one list, a block of rows at a time."""
+        m1, m2, room = c[3][lo:hi].view(np.uint64), c[4][lo:hi].view(np.uint64), ((100 - percent) * (c[2][lo:hi] >> 30)).astype(np.int32)
+        step = max(1, BLOCK // (hi - lo))
+        for k in range(max(old - lo, 0), hi - lo, step):
+            end = min(k + step, hi - lo)
+            differ = np.bitwise_count(m1[k:end, None] ^ m1[None, :end])
+            differ += np.bitwise_count(m2[k:end, None] ^ m2[None, :end])
+            y, x = np.nonzero((100 + percent) * differ.astype(np.int32) <= room[k:end, None] + room[None, :end])
+            before = x < y + k
+            y, x = y[before], x[before]
+            yield y + k + lo, x + lo, differ[y, x]
+
     def run(it):
-        held, going = None, None  # the latest token's only row so far; values of the latest token's first row, given out
+        held, cut = None, False  # the latest token's rows so far, and whether some of them have gone
         for batch in it:
             if not batch.num_rows:
                 continue
-            if held is not None:
-                batch, held = pa.concat_batches([held, batch]), None
-            cols = [batch.column(i).to_numpy() for i in range(5)]
-            token = cols[0]
-            new = np.ones(len(token), dtype=bool)
-            new[1:] = token[1:] != token[:-1]
-            if going is not None and going[0] == token[0]:
-                new[0] = False
-            starts, group = np.flatnonzero(new), np.cumsum(new) - 1  # -1: goes on from the batch before
-            sizes = np.bincount(group + 1, minlength=len(starts) + 1)
-            first = [np.where(group >= 0, c[starts[group]], going[i] if going is not None else 0) if len(starts) else np.full(len(c), going[i]) for i, c in enumerate(cols)]
-            place = np.arange(len(token))
-            begin = np.where(group >= 0, starts[group], 0) if len(starts) else np.zeros(len(token), dtype=np.int64)
-            lead, least = np.zeros(len(token), dtype=np.int64), np.full(len(token), NO_LEAD)
-            for back in range(LEADS):  # the first row, then those just before
-                other = [c[np.maximum(place - back, 0)] for c in cols] if back else first
-                differ = _differing(cols, other, percent)
-                better = ~new & (place - back >= begin) & (differ < least)
-                lead, least = np.where(better, other[1], lead), np.where(better, differ, least)
-            if len(starts):
-                going = None
-                if sizes[-1] == 1:
-                    held = batch.slice(batch.num_rows - 1, 1)
+            c = [batch.column(i).to_numpy() for i in range(6)]
+            old = 0
+            if held is not None and held[0][0] == c[0][0]:
+                old = len(held[0])
+                c = [np.concatenate(x) for x in zip(held, c)]
+            else:
+                cut = False
+            starts = np.flatnonzero(np.concatenate(([True], c[0][1:] != c[0][:-1])))
+            sizes = np.diff(np.append(starts, len(c[0])))
+            long = cut or sizes[0] > list_rows
+            got = []
+            rows = np.flatnonzero(np.repeat(sizes <= SHORT, sizes))
+            if len(rows) > 1:
+                got += [(y[new], x[new], d[new]) for y, x, d in short(c, rows) for new in [y >= old]]
+            for g in np.flatnonzero(sizes > SHORT).tolist():
+                lo, hi = int(starts[g]), int(starts[g] + sizes[g])
+                if g == 0 and long or sizes[g] > list_rows:
+                    for at in range(max(lo, old), hi, near):
+                        part = np.unique(np.concatenate((np.arange(lo, min(lo + near, hi)), np.arange(max(lo, at - near), min(at + near, hi)))))
+                        own = [x[part] for x in c]
+                        got += [(part[y[new]], part[x[new]], d[new]) for y, x, d in wide(own, 0, len(part), 0) for new in [(part[y] >= at)]]
                 else:
-                    going = [c[starts[-1]] for c in cols]
-            found = least < NO_LEAD
-            yield pa.RecordBatch.from_arrays([pa.array(x[found], pa.int64()) for x in (cols[1], lead, least)], names=["sid", "lead", "differ"])
+                    got += list(wide(c, lo, hi, old))
+            size = int(sizes[-1])
+            cut = (long if len(sizes) == 1 else False) or size > list_rows
+            end = [x[int(starts[-1]) :] for x in c]
+            held = [np.concatenate((x[:near], x[-near:])) if cut and size > 2 * near else x for x in end]
+            y, x, d = (np.concatenate([g[i] for g in got]) if got else np.zeros(0, dtype=np.int64) for i in range(3))
+            ok = likely(c, y, x, d)
+            y, x, d = y[ok], x[ok], d[ok]
+            twin = c[5][x] == c[5][y]  # either may be the earlier line
+            y, x, d = np.concatenate((y, x[twin])), np.concatenate((x, y[twin])), np.concatenate((d, d[twin])).astype(np.int64)
+            order = np.lexsort((x, d, y))
+            y, x, d = y[order], x[order], d[order]
+            many = np.bincount(y, minlength=len(c[0]))
+            place = np.arange(len(y)) - (np.cumsum(many) - many)[y]
+            open_ = np.zeros(len(c[0]), dtype=bool)
+            open_[np.repeat(sizes > list_rows, sizes)] = True
+            if long:
+                open_[: int(sizes[0])] = True
+            bare = np.flatnonzero(open_ & (many == 0))
+            bare = bare[bare >= old]
+            more = open_ | (many > keep)
+            best = place < keep
+            y, x, d = y[best], x[best], d[best]
+            sid, lead = np.concatenate((c[1][y], c[1][bare])), np.concatenate((c[1][x], c[1][bare]))
+            none = np.concatenate((np.zeros(len(y), dtype=bool), np.ones(len(bare), dtype=bool)))
+            yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(lead, pa.int64(), mask=none), pa.array(np.concatenate((d, np.full(len(bare), NO_LEAD))), pa.int32()), pa.array(np.concatenate((more[y], more[bare])))], names=["sid", "lead", "differ", "more"])
 
     return run
 
@@ -205,20 +260,20 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, le
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
     table = spark.sparkContext.broadcast(frequency_table(docs.select("text"), _tokens))
-    lines = scratch.write(keyed.mapInArrow(_index(table, percent, least_words), f"row long, doc_id {kind}, line long, sid long, n long, prefix array<long>, m1 long, m2 long"), "indexed")
+    lines = scratch.write(keyed.mapInArrow(_index(table, percent, least_words), f"row long, doc_id {kind}, line long, sid long, n long, skip long, prefix array<long>, m1 long, m2 long"), "indexed")
     slim = scratch.write(lines.select("row", "doc_id", "line", "sid"), "lines")
-    classes = lines.groupBy("sid").agg(F.min(F.struct("doc_id", "row", "line")).alias("first"), F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("n", "m1", "m2")), F.max("prefix").alias("prefix"))
+    classes = lines.groupBy("sid").agg(F.min(F.struct("doc_id", "row", "line")).alias("first"), F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("n", "skip", "m1", "m2")), F.max("prefix").alias("prefix"))
     classes = scratch.write(classes, "classes")
     firsts = classes.select("sid", "first", "copies")
     scratch.drop("indexed")
-    meta = F.expr("shiftleft(n, 30) | cast(pos + 1 as long)").alias("meta")
+    meta = F.expr("shiftleft(n, 30) | (skip + pos + 1)").alias("meta")
 
     def postings(of: DataFrame) -> DataFrame:
-        return of.select("sid", "n", "m1", "m2", F.col("first.doc_id").alias("doc"), F.posexplode("prefix").alias("pos", "token")).select("token", "sid", meta, "m1", "m2", "doc")
+        return of.select("sid", "n", "skip", "m1", "m2", F.col("first.doc_id").alias("doc"), F.posexplode("prefix").alias("pos", "token")).select("token", "sid", meta, "m1", "m2", "doc")
 
-    led = postings(classes).repartition("token").sortWithinPartitions("token", "doc", "sid").mapInArrow(_led(percent), "sid long, lead long, differ long")
-    star = scratch.write(led.groupBy("sid").agg(F.min(F.struct("differ", "lead")).alias("best")), "star")
-    del lines, led
+    lists = postings(classes).repartition("token").sortWithinPartitions("token", "doc", "sid").select("token", "sid", "meta", "m1", "m2", F.xxhash64("doc").alias("doc"))
+    found = scratch.write(lists.mapInArrow(_found(percent), "sid long, lead long, differ int, more boolean"), "found")
+    del lines, lists
     scratch.drop()
 
     def matched(pairs: DataFrame, name: str) -> DataFrame:
@@ -236,19 +291,29 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, le
         scratch.drop(f"{name}-wanted")
         return found
 
-    gone = matched(star.select(F.col("best.lead").alias("a"), F.col("sid").alias("b")), "star")
-    del star
-    scratch.drop("star-wanted", "star")
-    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    late = classes.join(F.broadcast(gone) if few else gone, "sid", "left_anti")
-    x, y = (side.select(*(F.col(c).alias(f"{p}{c}") for c in side.columns)) for side, p in ((postings(classes), "x"), (postings(late), "y")))
-    rest = x.join(y, (x.xtoken == y.ytoken) & F.expr("coalesce(xdoc <= ydoc, xdoc is null) and xsid <> ysid and " + _possible("x", "y", percent))).select(F.col("xsid").alias("a"), F.col("ysid").alias("b"))
+    best = found.filter("lead is not null").groupBy("sid").agg(F.min(F.struct("differ", "lead")).alias("best"))
+    gone = matched(best.select(F.col("best.lead").alias("a"), F.col("sid").alias("b")), "star")
+    scratch.drop("star-wanted")
+    small = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    left = found.join(F.broadcast(gone) if small else gone, "sid", "left_anti")
+    left = scratch.write(left.groupBy("sid", "lead").agg(F.max("more").alias("more")), "left")
+    open_ = scratch.write(left.filter("more").select("sid").distinct(), "open")
+    rest = left.filter("lead is not null").select(F.col("lead").alias("a"), F.col("sid").alias("b"))
+    n_open = open_.limit(BROADCAST_IDS + 1).count()
+    if n_open:
+        late = postings(classes.join(F.broadcast(open_) if n_open <= BROADCAST_IDS else open_, "sid", "left_semi"))
+        few = n_open <= BROADCAST_IDS and late.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+        x, y = (side.select(*(F.col(c).alias(f"{p}{c}") for c in side.columns)) for side, p in ((postings(classes), "x"), (late, "y")))
+        again = x.join(F.broadcast(y) if few else y, (x.xtoken == y.ytoken) & F.expr("coalesce(xdoc <= ydoc, xdoc is null) and xsid <> ysid and " + _possible("x", "y", percent)))
+        rest = rest.union(again.select(F.col("xsid").alias("a"), F.col("ysid").alias("b")))
     done = spark.read.parquet(f"{scratch.base}/star-pairs")
     more = matched(rest.distinct().join(done, ["a", "b"], "left_anti"), "rest")
-    bad = firsts.join(gone.union(more).withColumn("gone", F.lit(True)), "sid", "left").filter("copies > 1 or gone").select("sid", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
+    bad = firsts.join(gone.union(more).distinct().withColumn("gone", F.lit(True)), "sid", "left").filter("copies > 1 or gone").select("sid", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
+    bad = scratch.write(bad, "bad")  # a table of its own: the join with a line that very many rows hold can be split
     cut = slim.join(bad, "sid").filter("gone or row <> first.row or line <> first.line")
     cut = scratch.write(cut.select("row", "line").distinct().groupBy("row").agg(F.collect_list("line").alias("removed_lines")), "cut")  # a text's own lines
-    scratch.drop("classes", "lines", "star-pairs", "rest-pairs", "star-gone", "rest-gone")
+    del found, best, left, open_, rest, done, bad, classes, firsts, slim
+    scratch.drop("classes", "lines", "found", "left", "open", "star-pairs", "rest-pairs", "star-gone", "rest-gone", "bad")
     names = [c for c in docs.columns if c != "removed_lines"]
     carried = docs.select(*(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names)), F.xxhash64("doc_id", "text").alias("_row"))
     both = carried.join(cut, carried._row == cut.row, "left")

@@ -22,6 +22,8 @@ from .common import Scratch
 TABLE_BITS = 22
 #: Steps of a summed counter for each doubling.
 STEPS = 8
+#: The level of a count of one: no other set has the token, since buckets only count too much.
+ONCE = STEPS
 #: Candidate ids up to this many are broadcast to the texts (under 10 MB); more are joined by shuffle.
 BROADCAST_IDS = 200_000
 
@@ -207,15 +209,15 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, name: st
     """(node, root) of every node with an edge (a, b); root: the least node it reaches.
 
     Alternating large-star and small-star steps, each a min per node and a join; every round is
-    written to the shared folder. Rounds grow with the logarithm of the longest path.
+    written to the shared folder. Rounds grow with the logarithm of the longest path. It ends when
+    no node has two parents or both a parent and a child.
     """
-    e = scratch.write(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), f"{name}-0")
-    mark, k = None, 0
+    e, k = scratch.write(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), f"{name}-0"), 0
     while True:
-        now = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 30) - 1))).alias("h")).first()
-        if now == mark or not now.n:
+        ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("x"))
+        if not ends.select("x.*").groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up = 1 and down = 1)").limit(1).count():
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark, k = now, k + 1
+        k += 1
         both = e.union(e.select("v", "u").toDF("u", "v"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
