@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+
 SPACE = "▁"
 #: A text after one leading space: spaces with the word that follows, newlines, and literal U+2581.
 STRETCH = re.compile("\n|▁| *[^ \n▁]+| +")
@@ -42,6 +44,52 @@ class Vocabulary:
         return machine
 
 
+class Trie:
+    """All pieces that start anywhere in a text, found for all places at once."""
+
+    CHAR_BITS = 21
+
+    def __init__(self, vocabulary: Vocabulary):
+        child: dict[tuple[int, str], int] = {}
+        piece = [-1]
+        for i in vocabulary.score:
+            at = 0
+            for c in vocabulary.pieces[i]:
+                if (at, c) not in child:
+                    child[at, c] = len(piece)
+                    piece.append(-1)
+                at = child[at, c]
+            piece[at] = i
+        self.piece = np.array(piece)
+        self.root = np.zeros(1 << self.CHAR_BITS, dtype=np.int64)
+        deeper = []
+        for (at, c), to in child.items():
+            if at:
+                deeper.append((at << self.CHAR_BITS | ord(c), to))
+            else:
+                self.root[ord(c)] = to
+        deeper.sort()
+        self.key, self.to = (np.array(x, dtype=np.int64) for x in zip(*deeper)) if deeper else (np.zeros(1, dtype=np.int64) - 1, np.zeros(1, dtype=np.int64))
+
+    def __call__(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, length and piece of every match in code points, the longest first."""
+        at, state, n, found = np.arange(len(text)), self.root[text], 1, []
+        while True:
+            alive = state > 0
+            at, state = at[alive], state[alive]
+            piece = self.piece[state]
+            hit = piece >= 0
+            found.append((at[hit], np.full(int(hit.sum()), n), piece[hit]))
+            inside = at + n < len(text)
+            at, state = at[inside], state[inside]
+            if not len(at):
+                return tuple(np.concatenate([f[i] for f in reversed(found)]) for i in range(3))
+            key = state << self.CHAR_BITS | text[at + n]
+            where = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+            state = np.where(self.key[where] == key, self.to[where], 0)
+            n += 1
+
+
 _open: dict[tuple, object] = {}
 
 

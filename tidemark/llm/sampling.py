@@ -24,14 +24,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import mix, prepare
-from .pieces import SPACE, STRETCH, Vocabulary, default_model, opened
+from .pieces import SPACE, STRETCH, Trie, Vocabulary, default_model, opened
 
 SHARPNESS = 1.0
-CACHED = 150_000
+CACHED = 300_000
 #: Stretches drawn at once, about.
 DRAWN = 200_000
 
 
+class Edges:
+    """Columns that grow at the end; their room doubles."""
+
+    def __init__(self, *kinds: type):
+        self.size, self.columns = 0, [np.empty(1 << 12, dtype=k) for k in kinds]
+
+    def extend(self, *new: np.ndarray) -> None:
+        need = self.size + len(new[0])
+        if need > len(self.columns[0]):
+            self.columns = [np.concatenate((c[: self.size], np.empty(2 * need - self.size, dtype=c.dtype))) for c in self.columns]
+        for c, x in zip(self.columns, new):
+            c[self.size : need] = x
+        self.size = need
+
+
 class Lattices:
     """Flat arrays over all remembered stretches: nodes are characters' ends, edges lead back."""
 
@@ -41,44 +56,42 @@ class Lattices:
         for i, s in v.score.items():
             self.weight[i] = (2.0 - s) ** -SHARPNESS
         self.fallback = (2.0 - 2 * v.lowest) ** -SHARPNESS
-        self.machine = v.automaton(lambda i, p: (len(p), i))
-        self.text = [p.replace(SPACE, " ") for p in v.pieces]
+        self.trie = Trie(v)
+        self.raw = [p.replace(SPACE, " ").encode() for p in v.pieces]
+        self.byte = np.array([v.byte[b] for b in range(256)])
+        for b, i in v.byte.items():
+            self.raw[i] = bytes([b])
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.first = np.zeros(1, dtype=np.int64)  # each stretch's node 0, and the end
-        self.cum, self.back, self.piece = np.zeros(0), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.first = Edges(np.int64)  # each stretch's node 0, and the end
+        self.first.extend(np.zeros(1, dtype=np.int64))
+        self.edges = Edges(np.float64, np.int32, np.int32)  # node + share of the node's sum up to this edge, the node it comes from, its piece
+
+    def _matches(self, new: list[str], slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and piece of every edge; a stretch has a slot for each character and one more, at its end."""
+        letters = np.frombuffer(("\n".join(new) + "\n").encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        text = np.where(letters == ord(" "), ord(SPACE), np.where(letters == ord(SPACE), ord("\n"), letters))
+        start, size, piece = self.trie(text)
+        end = start + size
+        bare = np.ones(len(text), dtype=bool)  # characters that are no piece
+        bare[end[size == 1] - 1] = False
+        bare[slot[1:] - 1] = False
+        bare = np.flatnonzero(bare)
+        start, end, piece = np.concatenate((start, bare)), np.concatenate((end, bare + 1)), np.concatenate((piece, -1 - letters[bare]))
+        order = np.argsort(end, kind="stable")
+        return start[order], end[order], piece[order]
 
     def add(self, new: list[str]) -> None:
         """Lattices of these stretches, filtered forward together."""
-        base = int(self.first[-1])
-        size = np.array([len(s) + 1 for s in new], dtype=np.int64)
-        first = base + np.concatenate(([0], np.cumsum(size)))
-        start, end, piece = [], [], []
-        for at, s in zip((first[:-1] - base).tolist(), new):
-            single = set()
-            if s != SPACE:
-                for last, (n, i) in self.machine.iter(s.replace(" ", SPACE)):
-                    e = at + last + 1
-                    end.append(e)
-                    start.append(e - n)
-                    piece.append(i)
-                    if n == 1:
-                        single.add(last)
-            if len(single) < len(s):
-                for k, c in enumerate(s):
-                    if k not in single:
-                        end.append(at + k + 1)
-                        start.append(at + k)
-                        piece.append(-1 - ord(c))
-        start, end, piece = (np.array(x, dtype=np.int64) for x in (start, end, piece))
-        order = np.argsort(end, kind="stable")
-        start, end, piece = start[order], end[order], piece[order]
-        weight = np.where(piece >= 0, self.weight[np.maximum(piece, 0)], self.fallback)
-        nodes = int(first[-1] - base)
-        owner = np.repeat(np.arange(len(new)), size)
-        depth = (np.arange(nodes) - (first[:-1] - base)[owner])[end]
+        base = int(self.first.columns[0][self.first.size - 1])
+        size = np.fromiter(map(len, new), dtype=np.int64, count=len(new)) + 1
+        slot = np.concatenate(([0], np.cumsum(size)))
+        start, end, piece = self._matches(new, slot)
+        weight = np.log(np.where(piece >= 0, self.weight[np.maximum(piece, 0)], self.fallback))
+        nodes = int(slot[-1])
+        depth = (np.arange(nodes) - np.repeat(slot[:-1], size))[end]
         log = np.zeros(nodes)  # of the sum of all paths' weights
         share = np.zeros(len(end))
         level = np.argsort(depth, kind="stable")
@@ -87,37 +100,38 @@ class Lattices:
             e = level[lo:hi]
             if not len(e):
                 continue
-            x = log[start[e]] + np.log(weight[e])
+            x = log[start[e]] + weight[e]
             node = end[e]
             head = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
-            top = np.repeat(np.maximum.reduceat(x, head), np.diff(np.append(head, len(e))))
-            total = np.add.reduceat(np.exp(x - top), head)
-            log[node[head]] = np.log(total) + top[head]
-            share[e] = np.exp(x - log[node])
+            many = np.diff(np.append(head, len(e)))
+            top = np.repeat(np.maximum.reduceat(x, head), many)
+            total = np.log(np.add.reduceat(np.exp(x - top), head)) + top[head]
+            log[node[head]] = total
+            share[e] = np.exp(x - np.repeat(total, many))
         run = np.cumsum(share)
         head = np.flatnonzero(np.concatenate(([True], end[1:] != end[:-1]))) if len(end) else np.zeros(0, dtype=np.int64)
         run -= np.repeat(run[head] - share[head], np.diff(np.append(head, len(end))))
         if len(end):
             run[np.append(head[1:], len(end)) - 1] = 1.0
-        self.cum = np.concatenate((self.cum, run + end + base))
-        self.back = np.concatenate((self.back, start + base))
-        self.piece = np.concatenate((self.piece, piece))
-        for k, s in enumerate(new):
-            self.number[s] = len(self.first) - 1 + k
-        self.first = np.concatenate((self.first, first[1:]))
+        self.edges.extend(run + end + base, start + base, piece)
+        self.number.update(zip(new, range(self.first.size - 1, self.first.size - 1 + len(new))))
+        self.first.extend(slot[1:] + base)
 
     def draw(self, which: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece codes of each stretch in order, one after another, and how many each has."""
-        node, stop = self.first[which + 1] - 1, self.first[which]
-        live = np.flatnonzero(node > stop)
+        first, (cum, back, code) = self.first.columns[0], self.edges.columns
+        cum = cum[: self.edges.size]
+        node, stop = first[which + 1] - 1, first[which]
+        live = np.argsort(which, kind="stable")  # so that searches go through the edges in order
+        live = live[node[live] > stop[live]]
         steps, count, step = [], np.zeros(len(which), dtype=np.int64), 0
         while len(live):
             u = (mix(seed[live] + np.uint64(step)) >> np.uint64(11)).astype(np.float64) / (1 << 53)
             at = node[live]
-            e = np.searchsorted(self.cum, np.minimum(at + u, np.nextafter(at + 1.0, 0)), side="right")
-            steps.append((live, self.piece[e]))
+            e = np.searchsorted(cum, np.minimum(at + u, np.nextafter(at + 1.0, 0)), side="right")
+            steps.append((live, code[e]))
             count[live] += 1
-            node[live] = self.back[e]
+            node[live] = back[e]
             live = live[node[live] > stop[live]]
             step += 1
         last = np.cumsum(count)
@@ -126,14 +140,19 @@ class Lattices:
             out[last[who] - 1 - k] = piece
         return out, count
 
-    def expand(self, codes: np.ndarray) -> np.ndarray:
-        """Piece ids; characters without a piece become the ids of their bytes."""
-        if (codes >= 0).all():
-            return codes
-        out: list[int] = []
-        for c in codes.tolist():
-            out += [c] if c >= 0 else [self.vocabulary.byte[b] for b in chr(-1 - c).encode("utf-8", "replace")]
-        return np.array(out, dtype=np.int64)
+    def expand(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids, with the ids of their bytes for characters without a piece, and where each code's ids start (and the end)."""
+        at = np.flatnonzero(codes < 0)
+        if not len(at):
+            return codes, np.arange(len(codes) + 1)
+        code = {c: np.frombuffer(chr(-1 - c).encode("utf-8", "replace"), dtype=np.uint8) for c in np.unique(codes[at]).tolist()}
+        own = [code[c] for c in codes[at].tolist()]
+        wide = np.ones(len(codes), dtype=np.int64)
+        wide[at] = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
+        place = np.concatenate(([0], np.cumsum(wide)))
+        out = np.repeat(codes, wide)
+        out[out < 0] = self.byte[np.concatenate(own)]
+        return out, place
 
     def encode(self, rows: list[tuple[int, str | None]]) -> list[np.ndarray]:
         """Ids for each (seed, text)."""
@@ -153,9 +172,10 @@ class Lattices:
             self.learn(found)
             which = np.fromiter(map(self.number.__getitem__, found), dtype=np.int64, count=len(found))
             codes, count = self.draw(which, np.concatenate(seeds) if seeds else np.zeros(0, dtype=np.uint64))
-            cut = np.concatenate(([0], np.cumsum(count)))[[0, *ends]]
+            ids, place = self.expand(codes)
+            cut = place[np.concatenate(([0], np.cumsum(count)))[[0, *ends]]]
             for i in range(lo, k):
-                out[i] = self.expand(codes[cut[i - lo] : cut[i - lo + 1]])
+                out[i] = ids[cut[i - lo] : cut[i - lo + 1]]
         return out
 
     def learn(self, stretches: list[str]) -> None:
@@ -164,14 +184,7 @@ class Lattices:
             self.add(new)
 
     def decode(self, ids: np.ndarray) -> str:
-        if not len(ids):
-            return ""
-        kind = self.vocabulary.byte
-        low, high = kind[0], kind[255]
-        if not ((ids >= low) & (ids <= high)).any():
-            return "".join(map(self.text.__getitem__, ids.tolist()))[1:]
-        out = b"".join(bytes([i - low]) if low <= i <= high else self.text[i].encode() for i in ids.tolist())
-        return out.decode("utf-8", "replace")[1:]
+        return b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
 
 
 def sample_pieces(spark: SparkSession, docs: DataFrame, model: str | None = None) -> DataFrame:
