@@ -121,6 +121,49 @@ def test_quiet_until(spark):
     assert [x.u for x in r] == [at(9), at(8, day=30), None, None]
 
 
+def test_quiet_until_with_offsets_and_dates(spark):
+    """Offsets are brought to the zone, a bare date is its midnight; what is no such time is ignored."""
+    rows = [("2026-09-29T09:00:00+09:00",), ("2026-09-29T03:00:00Z",), ("2026-09-29 05:30:00.250+05:30",), ("2026-09-30",), ("2026-09-29T10",), ("2026-09-29T25:00",), ("2026-02-30",), ("2026-09-29T09:00:00+05:00x",), (None,), ("",)]
+    df = spark.createDataFrame(rows, "t string").select(contract.quiet_until(F.col("t"), F.lit(at(8)).cast("long"), "Asia/Seoul").alias("u"), contract.iso_text(contract.iso_seconds(F.col("t"), "Asia/Seoul"), "Asia/Seoul").alias("i"))
+    for zone in ("UTC", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        got = df.collect()
+        assert [r.u for r in got] == [at(9), at(12), at(9), at(0, day=1), at(10), None, None, None, None, None], zone
+        assert got[1].i == "2026-09-29T12:00:00+09:00" and got[5].i is None
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_chat_effects_in_order(spark):
+    full = '{"message": " ok ", "memory_command": {"action": "forget", "target": "tea", "target_ids": ["episode:1"]}, "do_not_disturb_until": "2026-09-29T20:00", "preferred_frequency": "high"}'
+    rows = [(1, 1, at(8), "hi", full, None), (1, 2, at(9), "so", '{"message": "", "memory_command": {"action": "list"}, "preferred_frequency": "often"}', None), (1, 3, at(9), "x", full, "refused")]
+    e = contract.effects(spark.createDataFrame(rows, "user_id long, seq long, ts long, text string, answer string, error string"))
+    got = [(r.seq, r.effect, r.value) for r in e.orderBy("seq", "step").collect()]
+    assert got[:8] == [(1, "store_user", "hi"), (1, "track_reaction", str(at(8))), (1, "forget", '{"target":"tea","target_ids":["episode:1"]}'), (1, "quiet_until", str(at(20))), (1, "frequency", "high"), (1, "send", "ok"), (1, "store_reply", "ok"), (1, "track_continuation", str(at(8)))]
+    assert [x[1] for x in got[8:]] == ["store_user", "track_reaction", "list", "send", "store_reply", "track_continuation", "store_user", "track_reaction", "send", "store_reply", "track_continuation"] and got[11][2] == contract.FALLBACK
+    assert contract.frequencies(e).collect()[0].preferred_frequency == "high"
+
+
+def test_changes_replay(spark):
+    rows = [(1, 1, 1, 1, "put", None, "a", 1), (1, 1, 2, 2, "patch", ["t"], None, 9), (1, 2, 1, 3, "patch", ["t"], "no row", 0), (1, 3, 1, 4, "put", None, "b", 2), (1, 3, 5, 5, "delete", None, None, None), (1, 3, 9, 6, "put", None, "c", 3)]
+    log = spark.createDataFrame(rows, "user_id long, id long, ts long, seq long, op string, sets array<string>, t string, n long")
+    at_ = lambda t: {(r.id, r.t, r.n) for r in scans.replay(log, ("t", "n"), t).collect()}
+    assert at_(1) == {(1, "a", 1), (3, "b", 2)} and at_(5) == {(1, None, 1)} and at_(None) == {(1, None, 1), (3, "c", 3)}
+
+
+def test_updates_match_by_id_then_statement(spark):
+    h = spark.createDataFrame([(1, 10, "a"), (1, 11, "b"), (2, 12, "a")], "user_id long, id long, statement string")
+    rows = [(1, 1, 11, "a", "new"), (1, 2, None, " a ", "new"), (1, 3, 99, "b", "contradict"), (1, 4, None, "z", "new"), (1, 5, None, None, "support")]
+    got = {r.seq: (r.hypothesis_id, r.observation) for r in memory.matched(spark.createDataFrame(rows, "user_id long, seq long, id long, statement string, observation string"), h).collect()}
+    assert got == {1: (11, "new"), 2: (10, "support"), 3: (11, "contradict"), 4: (None, "new"), 5: (None, "support")}
+
+
+def test_reflections_explode(spark):
+    data = json.dumps({"date": "2026-09-29", "important_events": [{"summary": "trip", "related_date": "2026-10-01", "importance": "high"}], "resolved_episode_ids": [4, 4], "current_state": [{"statement": " tired ", "expires_in_days": 2}, {"statement": " "}], "hypothesis_updates": [{"id": 3, "statement": "s", "observation": "new"}]})
+    rows = contract.exploded(spark.createDataFrame([(1, date(2026, 9, 29), data), (2, date(2026, 9, 29), "no json")], "user_id long, date date, data string"))
+    assert [(r.user_id, r.summary, r.related_text, r.importance_text) for r in rows["events"].collect()] == [(1, "trip", "2026-10-01", "high")]
+    assert [r.id for r in rows["resolved"].collect()] == [4] and [(r.statement, r.days_text) for r in rows["states"].collect()] == [("tired", "2")] and [(r.id, r.observation) for r in rows["updates"].collect()] == [(3, "new")]
+
+
 HYP = "user_id long, statement string, seq long, day date, observation string, user_stated boolean, sensitive boolean, new_statement string"
 
 
@@ -186,6 +229,8 @@ def test_forget(spark):
     assert [r.text for r in phrases.orderBy("at").collect()] == ["cat show", "cat sick", "cat"]
     gone, _ = memory.forget(items, spark.createDataFrame([(1, "cat", [])], cmd))
     assert sorted(r.id for r in gone.collect()) == [1, 3, 4]
+    two = spark.createDataFrame([(1, "cat", ["episode:2"]), (1, "likes", None)], cmd)  # each command by itself
+    assert sorted(r.id for r in memory.forget(items, two)[0].collect()) == [2, 3, 4]
 
 
 def test_listing_and_context(spark):
@@ -194,6 +239,8 @@ def test_listing_and_context(spark):
     s = spark.createDataFrame([(1, 1, "tired", at(0), at(0, day=1)), (1, 2, "over", at(0), at(1))], schemas.CURRENT_STATE)
     lines = memory.listing(h, e, s, at(19)).orderBy("section", "n").collect()
     assert [r.line for r in lines] == ["- c", "- r", "- trip (09/29)", "- 요즘: tired"]
+    text = {r.user_id: r.text for r in memory.described(spark.createDataFrame([(1,), (2,)], "user_id long"), memory.listing(h, e, s, at(19))).collect()}
+    assert text == {1: "\n".join((memory.LISTED, "- c", "- r", "- trip (09/29)", "- 요즘: tired", memory.LISTED_END)), 2: memory.NOTHING}
     m = spark.createDataFrame([(1, 1, at(18), "user", "hello")], "user_id long, id long, ts long, sender string, text string")
     none = spark.createDataFrame([], "user_id long, id long, text string")
     sent = reactions.sends(log_of(spark, [(at(10), "send", "recall")]), at(19), CFG)
@@ -203,6 +250,10 @@ def test_listing_and_context(spark):
     assert [x["statement"] for x in c["hypotheses"]] == ["r", "m"] and [x["statement"] for x in docs["chat"]["hypotheses"]] == ["c", "r", "m"]
     assert docs["chat"]["hypotheses"][0]["sensitive"] is True and "sensitive" not in c["hypotheses"][0] and "forgotten" not in c
     assert c["current_state"] == ["tired"] and c["unresolved_topics"][0]["related_date"] == "2026-09-29 (화)" and c["last_message_types"] == ["recall"] and c["today_proactive_count"] == 1
+    early = reactions.sends(log_of(spark, [(at(18, 50), "send", "recall")]), at(18, 55), CFG)
+    odd = m.filter("ts < 0")
+    c = json.loads(context.documents(m, odd, e, h, s, early, none, at(18, 55), "chat", CFG).first().context)  # null keys stay
+    assert c["recent_proactive"][0]["replied"] is None and c["last_message_at"] is None and c["last_message_by"] is None
 
 
 def test_registered_context_has_forgotten_phrases(spark):
@@ -237,6 +288,9 @@ def test_changes(spark):
     assert {r.id: r.t for r in scans.patch(rows, new, ("t",)).collect()} == {1: "a", 2: "z"}
     with pytest.raises(ValueError):
         scans.patch(rows, new, ("other",))
+    many = spark.createDataFrame([(1, 1, 1, "x"), (1, 1, 2, "y"), (1, 1, 3, None), (1, 2, 1, None)], "user_id long, id long, seq long, t string")
+    assert sorted((r.id, r.t) for r in scans.patch(rows, many, ("t",)).collect()) == [(1, "y"), (2, "b")]
+    assert sorted((r.id, r.t) for r in scans.patch(rows, many, ("t",), nulls=True).collect()) == [(1, None), (2, None)]
     kept, gone = scans.purge(rows, 5)
     assert [r.id for r in kept.collect()] == [2] and gone.first().purged == 1
     assert scans.delete(rows, new).count() == 1 and scans.replace(rows, rows.filter("id = 2").withColumn("t", F.lit("q"))).filter("t = 'q'").count() == 1
@@ -276,3 +330,21 @@ def test_streaming_equals_batch(spark, tmp_path):
     q.stop()
     got = {(r.ts, r.replied) for r in spark.table("replied").collect()}
     assert got == {(r.ts, r.replied) for r in reactions.sends(log, at(23), CFG).collect()}
+
+
+def test_streaming_slots_start_anew_at_midnight(spark, tmp_path):
+    from dataclasses import replace
+
+    from tidemark import streaming
+
+    cfg = replace(CFG, slot=5 * 3600)
+    log = log_of(spark, [(at(21), "user", None), (at(23), "send", "recall"), (at(0, 10, 1), "user", None), (at(4, 0, 1), "user", None), (at(5, 0, 1), "user", None), (at(23, 0, 3), "user", None)])
+    log.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(log.schema).parquet(str(tmp_path / "in"))
+    q = streaming.slot_counts(stream, cfg).writeStream.outputMode("append").format("memory").queryName("slots").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        q.processAllAvailable()
+        got = {(r.slot, r.kind): r.n for r in spark.table("slots").collect()}
+    finally:
+        q.stop()
+    assert got == {(at(20), "user"): 1, (at(20), "send"): 1, (at(0, 0, 1), "user"): 2, (at(5, 0, 1), "user"): 1}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .config import DAY, Config
 from .functions import daily_max, date_of, minutes, reply_length, shown_time
 from .operators import context, gate, memory, reactions, scans
-from .plans import schedule, simulate
+from .plans import contract, schedule, simulate
 from .sources import adapters
 from .sources.tables import table
 
@@ -210,6 +210,57 @@ def reflection_upsert(s, d):
     return scans.upsert(r, ("user_id", "date"))
 
 
+def _days(s, d):
+    return scans.upsert(adapters.interactions(s, d).select("user_id", date_of(F.col("ts")).alias("date"), F.col("id").alias("seq")), ("user_id", "date"))
+
+
+def reflections_since(s, d):
+    """Up to eight calendar dates."""
+    return _dates(scans.reflections_since(_days(s, d), date_of(F.lit(WEEK_AGO).cast("long"))), "date")
+
+
+def has_reflection(s, d):
+    return scans.has_reflection(_log(s, d), _days(s, d), date_of(F.lit(TODAY).cast("long")))
+
+
+def reflection_events(s, d):
+    return _dates(memory.build_episodes(contract.exploded(adapters.reflections(s, d))["events"].withColumn("id", F.col("n"))), "date", "related_date")
+
+
+def reflection_resolved(s, d):
+    return contract.exploded(adapters.reflections(s, d))["resolved"]
+
+
+def hypothesis_match(s, d):
+    u = adapters.updates(s, d)
+    k = F.regexp_extract("statement", "[0-9]+", 0).cast("int")
+    u = u.select("user_id", "seq", F.when(F.col("seq") % 3 == 0, F.col("seq")).alias("id"), F.concat(F.lit("s"), (k + F.col("seq") % 2 * 15).cast("string")).alias("statement"), "observation")
+    return memory.matched(u, _hypotheses(s, d)).select("user_id", "seq", "observation", "hypothesis_id")
+
+
+def change_replay(s, d):
+    return scans.replay(adapters.changes(s, d), ("kind", "k"), AS_OF)
+
+
+def by_id(s, d):
+    """Rows by their ids: every hundredth episode."""
+    e = _episodes(s, d)
+    return scans.by_id(e, e.filter("id % 100 = 1").select("user_id", "id")).select("user_id", "id", "summary")
+
+
+def memory_described(s, d):
+    lines = memory_listing(s, d)
+    return memory.described(_log(s, d).select("user_id"), lines)
+
+
+def chat_effects(s, d):
+    return contract.effects(adapters.turns(s, d))
+
+
+def chat_frequency(s, d):
+    return contract.frequencies(chat_effects(s, d))
+
+
 def ordered_dedup(s, d):
     r = adapters.interactions(s, d).select("user_id", "message_type", F.col("id").alias("ordinal")).filter("message_type is not null")
     return scans.first_of_each(r, ("user_id", "message_type"), "ordinal")
@@ -250,7 +301,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "response_rate_7d response_rate_7d_1h reply_attribution consecutive_unanswered conversation_continued reply_length_bucket reply_delay_histogram repeat_type_lag "
         "gate_reason_asof gate_reason_by_slot daily_max_now skip_reason_counts weekly_stats activity_hours messages_between recent_messages_topk today_tail last_message recent_sends_types "
         "pending_sends messages_after settings_defaults episode_build active_episodes purge_counts episode_rank unresolved_near episode_resolve state_clamp hypothesis_levels hypothesis_rank "
-        "contradicted_delete hypothesis_fold forgotten_filter memory_listing reflection_upsert ordered_dedup slot_calendar weekday_trigger reflection_windows shown_times context_documents feedback_simulation"
+        "contradicted_delete hypothesis_fold forgotten_filter memory_listing reflection_upsert ordered_dedup slot_calendar weekday_trigger reflection_windows shown_times context_documents feedback_simulation "
+        "reflections_since has_reflection reflection_events reflection_resolved hypothesis_match change_replay by_id memory_described chat_effects chat_frequency"
     )
     return {n: globals()[n] for n in names.split()}
 

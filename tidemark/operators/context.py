@@ -11,6 +11,10 @@ from ..functions import WEEKDAYS, shown_time
 from .scans import live
 
 
+#: Keys that are left out without a value. Within a JSON string a quote has a backslash before it, so no text matches.
+OPTIONAL = ',"(related_date|sensitive|forgotten)":null'
+
+
 def rank_episodes(episodes: DataFrame, k: int) -> DataFrame:
     """Open before resolved, then importance, then newest; ties: larger id."""
     importance = F.when(F.col("importance") == "high", 0).when(F.col("importance") == "mid", 1).otherwise(2)
@@ -77,4 +81,5 @@ def documents(users: DataFrame, messages: DataFrame, episodes: DataFrame, hypoth
         F.coalesce("today_n", F.lit(0)).alias("today_proactive_count"), last_two(F.transform(none("recent_proactive"), lambda x: x["type"])).alias("last_message_types"),
         F.transform("forgotten", lambda x: x["text"]).alias("forgotten"),
     )
-    return out.select("user_id", F.to_json(doc).alias("context"))
+    text = F.to_json(doc, {"ignoreNullFields": "false"})  # keys stay, but for those that only some objects have
+    return out.select("user_id", F.regexp_replace(text, OPTIONAL, "").alias("context"))

@@ -13,6 +13,10 @@ from .scans import live
 
 #: Forgotten phrases up to this many are broadcast; more are left to the planner, by user.
 BROADCAST_PHRASES = 20_000
+#: Texts of the memory listing.
+STATE = "- 요즘: "
+LISTED, LISTED_END = "내가 기억하고 있는 건 이 정도야:", "지우고 싶은 게 있으면 말해줘."
+NOTHING = "아직 따로 기억해 둔 건 없어."
 
 
 def build_episodes(events: DataFrame) -> DataFrame:
@@ -126,14 +130,16 @@ def active_hours(settings: DataFrame, suggestions: DataFrame) -> DataFrame:
 def forget(items: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Items (user_id, kind, id, text, live) that commands (user_id, target, target_ids) remove, and the phrases to keep out.
 
-    Typed ids come first; the text is looked for only where they removed nothing, among live episodes
-    and all hypotheses; states go by text always.
+    Typed ids come first; a command's text is looked for only where its own ids removed nothing, among live
+    episodes and all hypotheses; states go by text always. Commands of one call see the same items.
     """
-    c = commands.withColumn("target", strip(F.coalesce("target", F.lit(""))))
-    ids = c.select("user_id", F.explode("target_ids").alias("t")).filter(F.col("t").rlike("^(episode|hypothesis):[0-9]{1,18}$")).select("user_id", F.split_part("t", F.lit(":"), F.lit(1)).alias("kind"), F.split_part("t", F.lit(":"), F.lit(2)).cast("long").alias("id")).distinct()
-    by_id = items.join(ids, ["user_id", "kind", "id"], "left_semi")
-    text = c.filter("target <> ''").select("user_id", "target")
-    rest = text.join(by_id.select("user_id").distinct(), "user_id", "left_anti")
+    c = commands.withColumn("target", strip(F.coalesce("target", F.lit("")))).withColumn("command", F.struct("user_id", "target", "target_ids"))
+    ids = c.select("user_id", "command", F.explode("target_ids").alias("t")).filter(F.col("t").rlike("^(episode|hypothesis):[0-9]{1,18}$")).select("user_id", "command", F.split_part("t", F.lit(":"), F.lit(1)).alias("kind"), F.split_part("t", F.lit(":"), F.lit(2)).cast("long").alias("id")).distinct()
+    by_id = items.join(ids.drop("command"), ["user_id", "kind", "id"], "left_semi")
+    done = ids.join(items.select("user_id", "kind", "id"), ["user_id", "kind", "id"], "left_semi").select(F.col("command").alias("_done")).distinct()
+    text = c.filter("target <> ''").select("user_id", "target", "command")
+    rest = text.join(done, F.col("command").eqNullSafe(F.col("_done")), "left_anti").drop("command")
+    text = text.drop("command")
     fallback = items.filter("kind = 'hypothesis' or (kind = 'episode' and live)").join(rest, "user_id").filter(F.col("text").contains(F.col("target"))).drop("target")
     states = items.filter("kind = 'state' and live").join(text, "user_id").filter(F.col("text").contains(F.col("target"))).drop("target")
     gone = by_id.unionByName(fallback).unionByName(states).distinct()
@@ -143,10 +149,32 @@ def forget(items: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame]
     return gone, phrases
 
 
+def matched(updates: DataFrame, hypotheses: DataFrame) -> DataFrame:
+    """Updates (user_id, seq, id, statement, observation) with the hypothesis (user_id, id, statement) that each means.
+
+    By id where there is such a hypothesis, else by the stripped statement (the smallest id of equal ones);
+    a `new` that matches by statement is a `support`. hypothesis_id is null where nothing matches.
+    """
+    known = hypotheses.select("user_id", F.col("id").alias("_id"))
+    by_text = hypotheses.groupBy("user_id", F.col("statement").alias("_text")).agg(F.min("id").alias("_of_text"))
+    u = updates.withColumn("_text", strip(F.col("statement")))
+    u = u.join(known, (u.user_id == known.user_id) & (u.id == known._id), "left").drop(known.user_id)
+    u = u.join(by_text, ["user_id", "_text"], "left")
+    told = F.when(F.col("_id").isNull() & F.col("_of_text").isNotNull() & (F.col("observation") == "new"), "support").otherwise(F.col("observation"))
+    return u.withColumn("observation", told).withColumn("hypothesis_id", F.coalesce("_id", F.when(F.col("_text") != "", F.col("_of_text")))).drop("_id", "_text", "_of_text")
+
+
+def described(users: DataFrame, lines: DataFrame) -> DataFrame:
+    """(user_id, text): each user's listing as one text."""
+    own = lines.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("section", "n", "line"))).alias("l"))  # what one user's memory holds
+    text = F.concat(F.lit(LISTED), F.lit("\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n"), F.lit(LISTED_END))
+    return users.select("user_id").distinct().join(own, "user_id", "left").select("user_id", F.coalesce(text, F.lit(NOTHING)).alias("text"))
+
+
 def listing(hypotheses: DataFrame, episodes: DataFrame, states: DataFrame, as_of: int) -> DataFrame:
     """Lines (user_id, section, n, line) of what is remembered."""
     h = hypotheses.filter(F.col("level").isin("repeated", "confirmed")).select("user_id", F.lit(1).alias("section"), F.col("id").alias("n"), F.concat(F.lit("- "), F.col("statement")).alias("line"))
     shown = F.concat(F.lit("- "), F.col("summary"), F.coalesce(F.concat(F.lit(" ("), F.date_format("related_date", "MM/dd"), F.lit(")")), F.lit("")))
     e = live(episodes, as_of).filter("not resolved").select("user_id", F.lit(2).alias("section"), F.col("id").alias("n"), shown.alias("line"))
-    s = live(states, as_of).select("user_id", F.lit(3).alias("section"), F.col("id").alias("n"), F.concat(F.lit("- 요즘: "), F.col("statement")).alias("line"))
+    s = live(states, as_of).select("user_id", F.lit(3).alias("section"), F.col("id").alias("n"), F.concat(F.lit(STATE), F.col("statement")).alias("line"))
     return h.unionByName(e).unionByName(s)

@@ -45,13 +45,44 @@ def upsert(rows: DataFrame, keys: tuple[str, ...], order: str = "seq") -> DataFr
     return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def patch(rows: DataFrame, changes: DataFrame, allowed: tuple[str, ...], keys: tuple[str, ...] = ("user_id", "id")) -> DataFrame:
-    """Rows with the columns of changes put in where they aren't null; unknown columns are an error."""
-    new = [c for c in changes.columns if c not in keys]
+def patch(rows: DataFrame, changes: DataFrame, allowed: tuple[str, ...], keys: tuple[str, ...] = ("user_id", "id"), seq: str = "seq", nulls: bool = False) -> DataFrame:
+    """Rows with the columns of changes put in; unknown columns are an error.
+
+    A null changes nothing, or with nulls it is put in. Of several changes of a key the last in order of seq
+    counts, for each column by itself; changes without that column have no order, and the largest value counts.
+    """
+    new = [c for c in changes.columns if c not in (*keys, seq)]
     if not new or set(new) - set(allowed):
         raise ValueError(f"columns to change: {new or 'none'}; allowed: {allowed}")
-    renamed = changes.select(*keys, *(F.col(c).alias(f"_{c}") for c in new))
-    return rows.join(renamed, list(keys), "left").select(*(F.coalesce(f"_{c}", c).alias(c) if c in new else c for c in rows.columns))
+    order = F.col(seq) if seq in changes.columns else F.lit(0)
+    put = lambda c: F.max(F.when(F.lit(nulls) | F.col(c).isNotNull(), F.struct(order.alias("at"), F.col(c).alias("v")))).alias(f"_{c}")
+    last = changes.groupBy(*keys).agg(*(put(c) for c in new))
+    return rows.join(last, list(keys), "left").select(*(F.when(F.col(f"_{c}").isNull(), F.col(c)).otherwise(F.col(f"_{c}.v")).alias(c) if c in new else c for c in rows.columns))
+
+
+def replay(changes: DataFrame, columns: tuple[str, ...], as_of: int | None = None, keys: tuple[str, ...] = ("user_id", "id")) -> DataFrame:
+    """A table (keys, columns) out of its append-only changes, as of an instant.
+
+    changes: keys, ts, seq, op, sets, columns. put writes a whole row, patch the columns that the array sets
+    names (null is a value), delete removes it. What patches a row that isn't there is ignored. One aggregate.
+    """
+    log = changes if as_of is None else changes.filter(F.col("ts") <= as_of)
+    last = lambda op: F.max(F.when(F.col("op") == op, F.col("seq"))).alias(f"_{op}")
+    value = lambda c: F.max_by(F.struct(F.col(c).alias("v")), F.when((F.col("op") == "put") | ((F.col("op") == "patch") & F.array_contains("sets", c)), F.col("seq"))).alias(f"_{c}")
+    # a patch between a delete and the next put changes no row, and that put overwrites it
+    seen = log.groupBy(*keys).agg(last("put"), last("delete"), *map(value, columns))
+    return seen.filter("_put > coalesce(_delete, -1)").select(*keys, *(F.col(f"_{c}.v").alias(c) for c in columns))
+
+
+def reflections_since(reflections: DataFrame, since) -> DataFrame:
+    """Inclusive in date."""
+    return reflections.filter(F.col("date") >= since)
+
+
+def has_reflection(users: DataFrame, reflections: DataFrame, day) -> DataFrame:
+    """(user_id, reflected) for each user."""
+    have = reflections.filter(F.col("date") == day).select("user_id").distinct().withColumn("_has", F.lit(True))
+    return users.select("user_id").distinct().join(have, "user_id", "left").select("user_id", F.coalesce("_has", F.lit(False)).alias("reflected"))
 
 
 def replace(rows: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("user_id", "id")) -> DataFrame:

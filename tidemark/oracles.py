@@ -68,6 +68,16 @@ def sql(as_of: int, start: int, end: int, episode_day: int) -> dict[str, str]:
           max(day) as last_seen, bool_or(sensitive) as sensitive from upd join born using (user_id, statement) where seq >= born group by 1, 2, 3)"""
     blank = "[\\s　\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}]"
     strip = lambda c: f"regexp_replace({c}, '^{blank}+|{blank}+$', '', 'g')"
+    turns = f"with turn as (select conv_id as user_id, turn as seq, text, {as_of} as ts, turn % 6 as n, turn % 11 = 0 as bad from conversations where role = 'user')"
+    fallback = "앗, 잠깐 말이 꼬였어. 한 번만 다시 말해줄래?"
+    chat = f"""eff as (select user_id, seq, 1 as step, 'store_user' as effect, text as value from turn
+          union all select user_id, seq, 2, 'track_reaction', cast(ts as varchar) from turn
+          union all select user_id, seq, 3, 'forget', '{{"target":"tea","target_ids":["episode:1"]}}' from turn where n = 0 and not bad
+          union all select user_id, seq, 3, 'list', null from turn where n = 1 and not bad
+          union all select user_id, seq, 4, 'quiet_until', case n when 2 then '1705762800' else '1705795200' end from turn where n in (2, 3) and not bad
+          union all select user_id, seq, 5, 'frequency', case n when 1 then 'low' else 'high' end from turn where n in (1, 4) and not bad
+          union all select user_id, seq, unnest([6, 7]), unnest(['send', 'store_reply']), case when bad or n = 5 then '{fallback}' else 'ok' end from turn
+          union all select user_id, seq, 8, 'track_continuation', cast(ts as varchar) from turn)"""
     return {
         "response_rate_7d": f"{six}, {rate} select * from rate",
         "response_rate_7d_1h": f"{hour}, {rate} select * from rate",
@@ -126,4 +136,25 @@ def sql(as_of: int, start: int, end: int, episode_day: int) -> dict[str, str]:
             select cast(date '1970-01-01' + cast(day as int) as varchar) as day, count(*) as n from w group by 1""",
         "shown_times": f"""with {log}, t as (select user_id, make_timestamp(max(ts) * 1000000) as t from log group by 1)
             select user_id, strftime(t, '%Y-%m-%d (') || substr('월화수목금토일', cast(isodow(t) as int), 1) || strftime(t, ') %H:%M') as shown from t""",
+        "reflections_since": f"with {log} select user_id, cast(date '1970-01-01' + cast(ts // {DAY} as int) as varchar) as date, max(id) as seq from log where ts >= {week - week % DAY} group by 1, 2",
+        "has_reflection": f"with {log} select user_id, bool_or(ts >= {today} and ts < {today + DAY}) as reflected from log group by 1",
+        "reflection_events": f"""with {episode} select user_id, cast(row_number() over (partition by user_id, date order by id) - 1 as int) as id, cast(date as varchar) as date, summary, cast(related_date as varchar) as related_date, resolved, importance, expires_at from episode""",
+        "reflection_resolved": "select cast(o_custkey as bigint) as user_id, cast(o_orderkey as bigint) as id from orders where o_orderkey % 2 = 0",
+        "hypothesis_match": f"""with {log}, {update}, v as (select user_id, seq, case when seq % 3 = 0 then seq end as id, 's' || (cast(substr(statement, 2) as int) + seq % 2 * 15) as statement, obs from upd),
+            t as (select user_id, statement, min(id) as id from hyp group by 1, 2)
+            select v.user_id, v.seq, case when h.id is null and t.id is not null and obs = 'new' then 'support' else obs end as observation, coalesce(h.id, t.id) as hypothesis_id
+            from v left join hyp h on h.user_id = v.user_id and h.id = v.id left join t on t.user_id = v.user_id and t.statement = v.statement""",
+        "change_replay": f"""with {log}, c as (select user_id, cast(k % 10 as bigint) as key, id as seq, case when k % 5 < 2 then 'put' when k % 5 = 4 then 'delete' else 'patch' end as op, case when k % 7 <> 0 then kind end as kind, k from log where ts <= {as_of}),
+            p as (select user_id, key, max(seq) as put from c where op = 'put' group by 1, 2),
+            g as (select p.* from p left join (select user_id, key, max(seq) as del from c where op = 'delete' group by 1, 2) x using (user_id, key) where del is null or put > del),
+            w as (select g.user_id, g.key, max(seq) as seq from g join c using (user_id, key) where op in ('put', 'patch') group by 1, 2)
+            select g.user_id, g.key as id, a.kind, b.k from g join w on w.user_id = g.user_id and w.key = g.key join c a on a.user_id = g.user_id and a.seq = w.seq join c b on b.user_id = g.user_id and b.seq = g.put""",
+        "by_id": f"with {episode} select user_id, id, summary from episode where id % 100 = 1",
+        "memory_described": f"""with {log}, {update}, {episode}, l as (select user_id, 1 as section, id as n, '- ' || statement as line from hyp where level <> 'mentioned'
+            union all select user_id, 2, id, '- ' || summary || coalesce(' (' || strftime(related_date, '%m/%d') || ')', '') from episode where not resolved and expires_at > {episode_day}
+            union all select user_id, 3, seq, '- 요즘: ' || statement from upd where stated)
+            select u.user_id, coalesce('내가 기억하고 있는 건 이 정도야:' || chr(10) || string_agg(line, chr(10) order by section, n, line) || chr(10) || '지우고 싶은 게 있으면 말해줘.', '아직 따로 기억해 둔 건 없어.') as text
+            from (select distinct user_id from log) u left join l using (user_id) group by 1""",
+        "chat_effects": f"{turns}, {chat} select user_id, seq, step, effect, value from eff",
+        "chat_frequency": f"{turns}, {chat} select user_id, arg_max(value, seq) as preferred_frequency from eff where effect = 'frequency' group by 1",
     }

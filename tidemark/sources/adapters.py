@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import DAY
 from ..schemas import MESSAGE_TYPES
 from .tables import table
 
 
 def local_seconds(ts: Column) -> Column:
-    return F.unix_seconds(ts.cast("timestamp"))
+    """Of the wall clock that ts shows; a timestamp without zone is the same in every session."""
+    return F.unix_date(F.to_date(ts)).cast("long") * DAY + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
 
 
 def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,3 +52,30 @@ def forgotten(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").filter("role <> 'system'").select(F.col("conv_id").alias("user_id"), F.col("turn").alias("id"), F.when(F.col("role") == "user", "user").otherwise("assistant").alias("sender"), "text")
+
+
+def reflections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """user_id, date, data: the decider's JSON, one a day of a customer's orders."""
+    e = episodes(spark, sf_dir)
+    event = F.struct("summary", F.col("related_text").alias("related_date"), F.col("importance_text").alias("importance"))
+    own = e.groupBy("user_id", "date").agg(F.array_sort(F.collect_list(F.struct("id", event.alias("e")))).alias("l"))  # one user's orders of a day
+    data = F.struct(F.col("date").cast("string").alias("date"), F.transform("l", lambda x: x["e"]).alias("important_events"), F.transform(F.filter("l", lambda x: x["id"] % 2 == 0), lambda x: x["id"]).alias("resolved_episode_ids"))
+    return own.select("user_id", "date", F.to_json(data).alias("data"))
+
+
+def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An append-only change log of rows (user_id, id) with columns kind and k."""
+    e = interactions(spark, sf_dir)
+    op = F.when(F.col("k") % 5 < 2, "put").when(F.col("k") % 5 == 4, "delete").otherwise("patch")
+    return e.select("user_id", (F.col("k") % 10).cast("long").alias("id"), "ts", F.col("id").alias("seq"), op.alias("op"), F.array(F.lit("kind")).alias("sets"), F.when(F.col("k") % 7 != 0, F.col("kind")).alias("kind"), "k")
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chat turns: user_id, seq, ts, text and a decider's answer by a rule on seq."""
+    n = F.col("seq") % 6
+    command = F.when(n == 0, F.struct(F.lit("forget").alias("action"), F.lit("tea").alias("target"), F.array(F.lit("episode:1")).alias("target_ids"))).when(n == 1, F.struct(F.lit("list").alias("action"), F.lit(None).cast("string").alias("target"), F.array().cast("array<string>").alias("target_ids")))
+    quiet = F.when(n == 2, "2024-01-20T18:00:00+03:00").when(n == 3, "2024-01-21").when(n == 4, "soon")
+    frequency = F.when(n == 1, "low").when(n == 2, "often").when(n == 4, "high")
+    m = messages(spark, sf_dir).filter("sender = 'user'").select("user_id", F.col("id").alias("seq"), F.lit(1705752000).cast("long").alias("ts"), "text")
+    answer = F.to_json(F.struct(F.when(n == 5, "  ").otherwise("ok").alias("message"), command.alias("memory_command"), quiet.alias("do_not_disturb_until"), frequency.alias("preferred_frequency")))
+    return m.select("user_id", "seq", "ts", "text", answer.alias("answer"), F.when(F.col("seq") % 11 == 0, "refused").alias("error"))

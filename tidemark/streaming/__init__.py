@@ -13,13 +13,18 @@ def timed(log: DataFrame) -> DataFrame:
     return log.withColumn("at", F.timestamp_seconds("ts"))
 
 
+def slotted(log: DataFrame, cfg: Config, late: str) -> DataFrame:
+    """With slot_at, the slot's start; slots start anew at midnight. A slot ends when one that starts a slot and the lateness later is seen."""
+    rows = log.withColumn("slot_at", F.timestamp_seconds(slot_start(F.col("ts"), cfg.slot)))
+    return rows.withWatermark("slot_at", f"{cfg.slot} seconds {late}")
+
+
 def replies(log: DataFrame, cfg: Config, late: str = "10 minutes") -> DataFrame:
     """SENDs and their first replies. A SEND and its reply share a slot, so state lasts one slot and the
     lateness: rows of a slot are given out when the watermark has passed it, answered or not."""
-    w = F.window("at", f"{cfg.slot} seconds")
-    rows = timed(log).withWatermark("at", late).filter(F.col("kind").isin("send", "user"))
+    rows = slotted(log.filter(F.col("kind").isin("send", "user")), cfg, late)
     item = F.struct("ts", "id", "kind")
-    slots = rows.groupBy(w, "user_id").agg(F.sort_array(F.collect_list(item)).alias("rows"))  # one user's rows of one slot
+    slots = rows.groupBy("slot_at", "user_id").agg(F.sort_array(F.collect_list(item)).alias("rows"))  # one user's rows of one slot
     sent = slots.select("user_id", "rows", F.explode(F.filter("rows", lambda r: r["kind"] == "send")).alias("s"))
     reply = F.array_min(F.transform(F.filter("rows", lambda r: (r["kind"] == "user") & (r["ts"] >= F.col("s.ts"))), lambda r: r["ts"]))
     return sent.select("user_id", F.col("s.id").alias("id"), F.col("s.ts").alias("ts"), reply.isNotNull().alias("replied"), delay_minutes(F.col("s.ts"), reply).alias("delay_minutes"))
@@ -27,8 +32,7 @@ def replies(log: DataFrame, cfg: Config, late: str = "10 minutes") -> DataFrame:
 
 def slot_counts(log: DataFrame, cfg: Config, late: str = "10 minutes") -> DataFrame:
     """Messages of each kind in each slot."""
-    rows = timed(log).withWatermark("at", late)
-    return rows.groupBy(F.window("at", f"{cfg.slot} seconds"), "kind").agg(F.count(F.lit(1)).alias("n")).select(F.unix_seconds(F.col("window.start")).alias("slot"), "kind", "n")
+    return slotted(log, cfg, late).groupBy("slot_at", "kind").agg(F.count(F.lit(1)).alias("n")).select(F.unix_seconds("slot_at").alias("slot"), "kind", "n")
 
 
 def to_messenger(sent: DataFrame, deliver, checkpoint: str):
@@ -36,4 +40,4 @@ def to_messenger(sent: DataFrame, deliver, checkpoint: str):
     return sent.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint)
 
 
-__all__ = ["replies", "slot_counts", "slot_start", "timed", "to_messenger"]
+__all__ = ["replies", "slot_counts", "slot_start", "slotted", "timed", "to_messenger"]
