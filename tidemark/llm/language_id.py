@@ -18,10 +18,9 @@ the trigrams, and all their words count. Only doc_id, text and lang are read.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +31,7 @@ DOCS_PER_LANGUAGE = 1_500
 BUCKET_BITS = 16
 EM_ROUNDS = 12
 UND = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")  # of any script; numbers and marks are none
 
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[:128] = 32
@@ -86,6 +85,7 @@ def _joined(owner: list[int], held: list[bytes]):
 
 def learn(rows: DataFrame, lang: str = "lang", sample: int = DOCS_PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """Languages in order and log-likelihoods by bucket and language, from rows (text, lang)."""
+    prepare(rows.sparkSession)
     rows = rows.select("text", F.col(lang).alias("lang")).filter("text is not null and lang is not null")
     sizes = {r.lang: r.n for r in rows.select("lang", F.xxhash64("text").alias("h")).distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(sizes)
@@ -168,10 +168,10 @@ def mixtures(log_like: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
 
 
 def predict(spark: SparkSession, docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """docs (doc_id, text, ...) with lang_pred, score and proportions (map of language to share) added."""
+    """docs (doc_id, text, ...) with lang_pred, score and proportions (map of language to share) for text and columns of these names."""
     prepare(spark)
     held_model = spark.sparkContext.broadcast(model)  # 256 KB a language
-    keep = [c for c in docs.columns if c != "text"]
+    keep = [c for c in docs.columns if c not in ("text", "lang_pred", "score", "proportions")]
 
     def run(it):
         langs, table = held_model.value
