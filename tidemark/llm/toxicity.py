@@ -8,7 +8,7 @@ Training uses about LABELLED labelled rows, chosen by a hash of doc_id, with the
 bounded sample for the stems, the trees and the calibration (on a quarter that the trees don't see).
 
 Nulls: a null text is empty; an empty text gets the score of its features, all zero. Rows with a null
-label don't train; several labels of one id count as toxic if one is. No labels at all: score 0.
+label don't train; texts of any length count whole; several labels of one id count as toxic if one is. No labels at all: score 0.
 Repeated rows stay; empty table: no rows. Only doc_id and text, and labels' doc_id and toxic are read.
 """
 
@@ -144,6 +144,7 @@ def learn_stems(spark: SparkSession, sample: DataFrame) -> list[str]:
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = LABELLED) -> dict | None:
     """Model from docs (doc_id, text) and labels (doc_id, toxic)."""
+    prepare(spark)
     scratch = Scratch(spark, "toxicity")
     labels = labels.select("doc_id", "toxic").filter("doc_id is not null and toxic is not null")
     n = labels.count()
@@ -151,7 +152,9 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
         return None
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
     chosen = labels.filter(part < F.lit(int(min(1.0, sample / n) * (1 << 20)))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # about `sample` rows of two integers
+    chosen = scratch.write(chosen, "chosen")
+    small = chosen.limit(4 * sample + 1).count() <= 4 * sample  # about `sample` rows of two integers
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen) if small else chosen, "doc_id")
     rows = scratch.write(rows.select("doc_id", "text", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic")), "sample")
     stems = learn_stems(spark, rows)
 
@@ -162,7 +165,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.list_(pa.float64()))], names=["part", "toxic", "x"])
 
     got = rows.select(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)).cast("int").alias("part"), "text", F.col("toxic").cast("int").alias("toxic"), "doc_id").orderBy("doc_id").drop("doc_id").mapInArrow(measure, "part int, toxic int, x array<double>").toArrow()
-    scratch.drop("sample")
+    scratch.drop("sample", "chosen")
     if not got.num_rows:
         return None
     x = np.array(got.column("x").to_pylist(), dtype=np.float64)
@@ -172,10 +175,10 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
 
 
 def score(spark: SparkSession, docs: DataFrame, model: dict | None) -> DataFrame:
-    """docs (doc_id, text, ...) without text, with score and predicted."""
+    """docs (doc_id, text, ...) with score and predicted for text and columns of these names."""
     prepare(spark)
     shared = spark.sparkContext.broadcast(model)
-    keep = [c for c in docs.columns if c != "text"]
+    keep = [c for c in docs.columns if c not in ("text", "score", "predicted")]
 
     def run(it):
         m = shared.value
