@@ -3,12 +3,14 @@
 Each partition packs its documents as they come, without a shuffle. A document's whole sequences
 are cut off first. The rest goes to the fill level (0: a new sequence) that makes the sum of the
 squared counts of partially filled sequences, kept in an array by level, least; ties take the
-fullest. At the partition's end the sequences that are still open are run together into full ones,
-and the last tokens go into sequences whose lengths are powers of two, which need no padding.
+fullest. At the partition's end, and when more than MOST_OPEN are open, the open sequences keep what was
+placed in them and are filled up with the pieces of the emptiest ones; the last tokens go into sequences
+whose lengths are powers of two, which need no padding. `moved` counts the ids that filling moves.
 Sequence ids are the partition's number in the high bits and a counter in the low 40.
 
 A task that is run again reads the same split in the same order and gives the same rows. Memory is
-the open sequences (at most 8 KB each) and bounded caches of words.
+the open sequences (at most MOST_OPEN of 8 KB each), bounded caches of words, and one text: a very long one is cut
+at white space for the tokenizer and packed whole.
 
 Nulls: a null text is empty and holds the end token alone; a null doc_id is kept. Repeated rows are
 packed each. Empty table: no rows. Extra columns are ignored.
@@ -33,6 +35,8 @@ END_ID = 1
 #: Words whose ids are remembered by a Python worker.
 CACHED = 300_000
 SLICE = 1 << 20
+#: Open sequences of a partition; beyond that many they are filled up and closed.
+MOST_OPEN = 4_096
 
 
 def default_tokenizer() -> str:
@@ -115,6 +119,7 @@ class Packer:
 
     def __init__(self, first_id: int, size: int = SEQUENCE):
         self.size, self.next, self.rows = size, first_id, []
+        self.opened = self.moved = 0  # open sequences; ids that filling has moved from where they were placed
         self.count = np.zeros(size + 1, dtype=np.int64)
         self.open: dict[int, list[list]] = {}
 
@@ -153,19 +158,46 @@ class Packer:
             self.count[h] -= 1
         pieces.append((doc, at // 4, ids[at:], total))
         if h + r == self.size:
+            self.opened -= bool(h)
             self._close(pieces)
         else:
             self.open.setdefault(h + r, []).append(pieces)
             self.count[h + r] += 1
+            self.opened += not h
+            if self.opened > MOST_OPEN:
+                pieces = self._fill()
+                if pieces:
+                    h = sum(len(p[2]) for p in pieces) // 4
+                    self.open[h], self.count[h], self.opened = [pieces], 1, 1
+
+    def _fill(self) -> list:
+        """Closes the open sequences, each filled from the emptiest ones; gives back the pieces of the one that is left."""
+        seqs = [[h, pieces] for h in sorted(self.open, reverse=True) for pieces in self.open[h]]
+        self.open, self.opened = {}, 0
+        self.count[:] = 0
+        i, j = 0, len(seqs) - 1
+        while i < j:
+            h, pieces = seqs[i]
+            room = self.size - h
+            while room and i < j:
+                doc, start, ids, total = seqs[j][1].pop()
+                take = min(room, len(ids) // 4)
+                pieces.append((doc, start, ids[: 4 * take], total))
+                if 4 * take < len(ids):
+                    seqs[j][1].append((doc, start + take, ids[4 * take :], total))
+                room -= take
+                self.moved += take
+                j -= not seqs[j][1]
+            if room:
+                return pieces
+            self._close(pieces)
+            i += 1
+        return seqs[i][1] if i == j else []
 
     def finish(self) -> None:
-        left = [p for h in sorted(self.open, reverse=True) for pieces in self.open[h] for p in pieces]
-        total = sum(len(p[2]) for p in left) // 4
-        sizes = [self.size] * (total // self.size)
-        rest = total % self.size
-        sizes += [1 << k for k in range(self.size.bit_length(), -1, -1) if rest >> k & 1]
-        left.reverse()
-        for size in sizes:
+        left = self._fill()[::-1]
+        rest = sum(len(p[2]) for p in left) // 4
+        for size in (1 << k for k in range(self.size.bit_length(), -1, -1) if rest >> k & 1):
             pieces, room = [], size
             while room:
                 doc, start, ids, n = left.pop()
@@ -175,7 +207,6 @@ class Packer:
                     left.append((doc, start + take, ids[4 * take :], n))
                 room -= take
             self._close(pieces)
-        self.open = {}
 
 
 def pack(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None, size: int = SEQUENCE) -> DataFrame:
