@@ -397,3 +397,218 @@ def test_parity_maps_bound_the_difference():
     for i in range(40):
         for j in range(i):
             assert int(np.bitwise_count(m1[i] ^ m1[j])) + int(np.bitwise_count(m2[i] ^ m2[j])) <= len(sets[i] ^ sets[j])
+
+
+def test_filling_moves_few_ids():
+    """Most ids stay in the sequence that the sum of squares chose; nothing is padded, open sequences are bounded."""
+    rng = np.random.default_rng(12)
+    for n, most in ((250, 0.2), (3_000, 0.1)):
+        p = packing.Packer(0)
+        sizes = np.minimum(rng.lognormal(5.3, 1.3, n).astype(int) + 1, 30_000).tolist()
+        for i, size in enumerate(sizes):
+            p.add(i, b"\1\0\0\0" * size)
+            assert p.opened == p.count.sum() == sum(map(len, p.open.values()))
+        p.finish()
+        lengths, got = {}, {}
+        for doc, start, length, _, total, seq, offset in p.rows:
+            assert offset == lengths.get(seq, 0) and total == sizes[doc]
+            lengths[seq] = offset + length
+            got.setdefault(doc, []).append((start, length))
+        assert p.moved / sum(sizes) < most and all(x == 2048 or x & (x - 1) == 0 for x in lengths.values())
+        assert sorted(x for x in lengths.values() if x < 2048) == sorted(set(x for x in lengths.values() if x < 2048))  # at most one of each power of two
+        for doc, pieces in got.items():
+            at = 0
+            for start, length in sorted(pieces):
+                assert start == at
+                at += length
+            assert at == sizes[doc]
+
+
+def test_open_sequences_are_bounded(monkeypatch):
+    monkeypatch.setattr(packing, "MOST_OPEN", 5)
+    rng = np.random.default_rng(13)
+    p, total = packing.Packer(0, 64), 0
+    for i in range(400):
+        size = int(rng.integers(30, 64))
+        total += size
+        p.add(i, b"\1\0\0\0" * size)
+        assert p.opened <= 5 and p.opened == p.count.sum()
+    p.finish()
+    assert sum(r[2] for r in p.rows) == total
+
+
+def test_numbers_and_marks_are_no_letters(spark):
+    train = spark.createDataFrame([("some words of one language", "aa")] * 3, "text string, lang string")
+    model = language_id.learn(train)
+    rows = [(1, "½ ²"), (2, "①⑳ Ⅷ"), (3, "2nd"), (4, "́ ̈"), (5, "漢字"), (6, "ª")]
+    docs = docs_of(spark, rows).withColumn("score", F.lit("clash")).withColumn("lang_pred", F.lit("clash"))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(spark, docs, model).collect()}
+    assert got[1] == got[2] == got[4] == ("und", 0.0) and got[3][0] == got[5][0] == got[6][0] == "aa"
+
+
+def test_mixture_equals_plain_em():
+    """Rounds of EM and the penalty of the language set, recomputed word by word."""
+    import math
+
+    rng = np.random.default_rng(21)
+    k, shares = 3, []
+    like = []
+    doc = []
+    for d, theta in enumerate(([1, 0, 0], [0.6, 0.4, 0], [0.34, 0.33, 0.33], [0.97, 0.03, 0])):
+        for _ in range(60):
+            own = int(rng.choice(k, p=theta))
+            row = rng.normal(-30, 1, k)
+            row[own] += rng.uniform(3, 9)
+            like.append(row)
+            doc.append(d)
+    like, doc = np.array(like), np.array(doc)
+    got = language_id.mixtures(like.astype(np.float32), doc, 4)
+
+    def em(rows, langs):
+        theta = [1 / len(langs)] * len(langs)
+        for _ in range(400):
+            total = [0.0] * len(langs)
+            for r in rows:
+                w = [t * math.exp(r[i] - max(r)) for t, i in zip(theta, langs)]
+                for j, x in enumerate(w):
+                    total[j] += x / sum(w)
+            theta = [t / len(rows) for t in total]
+        fit = sum(max(r) + math.log(sum(t * math.exp(r[i] - max(r)) for t, i in zip(theta, langs))) for r in rows)
+        return theta, fit
+
+    for d in range(4):
+        rows = like[doc == d].tolist()
+        full, _ = em(rows, [0, 1, 2])
+        order = sorted(range(k), key=lambda i: -full[i])
+        chosen, (theta, fit) = order[:1], em(rows, order[:1])
+        for size in (2, 3):
+            t, f = em(rows, order[:size])
+            if f - 0.5 * (size - 1) * math.log(len(rows)) <= fit - 0.5 * (size - 2) * math.log(len(rows)):
+                break
+            chosen, theta, fit = order[:size], t, f
+        want = np.zeros(k)
+        want[chosen] = theta
+        shares.append(len(chosen))
+        assert np.abs(got[d] - want).max() < 0.05, d
+    assert len(set(shares)) > 1
+
+
+def plain_digest(text: bytes, rank, windows=32, reach=32, bits=2048, each=5, features=160):
+    """Filters of one text by the docstring: each window's entropy, rarity, the least of its neighbourhood, chained Bloom bits."""
+    import hashlib
+    import math
+    from collections import Counter
+
+    m = (1 << 64) - 1
+
+    def window_hash(w):
+        h = [(c + 1) * 0x9E3779B97F4A7C15 & m for c in w]
+        size = 1
+        while size < windows:
+            h = [(h[i] * 0xD6E8FEB86659FD93 + (h[i + size] ^ (h[i + size] >> 29))) & m for i in range(len(h) - size)]
+            size *= 2
+        x = h[0] ^ (h[0] >> 32)
+        x = x * 0xBF58476D1CE4E5B9 & m
+        return x ^ (x >> 31)
+
+    keys, hashes = [], []
+    for i in range(len(text) - windows + 1):
+        w = text[i : i + windows]
+        entropy = -sum(c / windows * math.log2(c / windows) for c in Counter(w).values()) / math.log2(windows)
+        level = min(255, max(0, int(entropy * 256 + 1e-7)))
+        hashes.append(window_hash(w))
+        keys.append((int(rank[level]) << 24) | (hashes[-1] >> 40))
+    picked = []
+    for i, key in enumerate(keys):
+        if key == min(keys[max(0, i - reach) : i + reach + 1]) and hashes[i] not in picked:
+            picked.append(hashes[i])
+    if not picked and text:
+        picked = [int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little")]
+    out = []
+    for k in range(0, len(picked), features):
+        on = {(h >> 11 * j) & (bits - 1) for h in picked[k : k + features] for j in range(each)}
+        out.append((on, len(picked[k : k + features])))
+    return out
+
+
+def test_digests_equal_plain_ones():
+    rng = np.random.default_rng(31)
+    texts = [b"", b"short", bytes(rng.integers(97, 105, 32).astype(np.uint8)), bytes(rng.integers(97, 122, 900).astype(np.uint8)), b"aaaa bbbb " * 60, bytes(rng.integers(0, 256, 9000).astype(np.uint8))]
+    rank = rng.permutation(256).astype(np.uint32)
+    rank[:] = np.argsort(np.argsort(np.abs(np.arange(256) - 200)))
+    for t, filters in zip(texts, fingerprint.digests(texts, rank)):
+        want = plain_digest(t, rank)
+        assert [(set(np.flatnonzero(np.unpackbits(b)).tolist()), n) for b, n in filters] == want, t[:20]
+
+
+def test_ranges_change_no_fingerprint(spark, monkeypatch):
+    rng = np.random.default_rng(32)
+    rows = [(int(i), " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps"], int(rng.integers(0, 60))))) for i in range(80)] + [(None, "null id"), (7, "repeated id")]
+    whole = sorted(map(tuple, fingerprint.fingerprints(spark, docs_of(spark, rows)).collect()), key=str)
+    plain = fingerprint.with_next
+    monkeypatch.setattr(fingerprint, "with_next", lambda docs: plain(docs, per_range=9))
+    assert sorted(map(tuple, fingerprint.fingerprints(spark, docs_of(spark, rows)).collect()), key=str) == whole
+
+
+def test_recall_where_the_tree_knows_a_part(spark):
+    """fit_rows far below the rows; leaves are split, and every row is indexed."""
+    rng = np.random.default_rng(41)
+    centres = rng.normal(size=(30, 8)) * 3
+    v = centres[rng.integers(0, 30, 4000)] + rng.normal(size=(4000, 8))
+    df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(spark, df, F.col("vec_id") % 100 == 0, fit_rows=400).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, 4000, 100):
+        d = ((v - v[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(got[q] & set(np.argsort(d)[:10].tolist()))
+    assert hits >= 0.9 * 400 and all(len(x) == 10 for x in got.values())
+
+
+def test_rules_without_a_literal_run_on_every_url(spark):
+    rule = url_filter.Rule("digits", "block", "^[0-9.]+(/|$)", (), False)
+    pages = spark.createDataFrame([(1, "http://1.2.3.4/x"), (2, "http://a.org/1"), (3, None)], "page_id long, url string")
+    for most in (100, 0):
+        assert {r.page_id: r.verdict for r in url_filter.judge(spark, pages, url_filter.RULES + (rule,), literal_rules=most).collect()} == {1: "block", 2: "allow", 3: "allow"}
+
+
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long, score double"
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls, repeats, ties and a clashing column through all stages, and an empty table."""
+    words = [f"w{i}" for i in range(400)]
+    rng = np.random.default_rng(51)
+    make = lambda n: " ".join(rng.choice(words, n))
+    base = make(80)
+    rows = [(i, make(60), "aa", "s", 1, 0.5) for i in range(60)] + [(100, base, "aa", None, None, None), (101, base, None, "s", 1, 0.1), (102, base.replace(base.split()[40], "zz", 1), "aa", "s", 1, 0.1), (103, None, "aa", "s", None, None), (None, make(30), "aa", "s", 1, 0.2), (104, "", None, None, 0, None), (105, "½ ²", None, None, 0, None)]
+    for name, own in (("full", rows), ("empty", [])):
+        d = tmp_path / name
+        spark.createDataFrame(own, DOCUMENTS).write.parquet(str(d / "documents.parquet"))
+        spark.createDataFrame([(i, 0) for i in range(60)] if own else [], "doc_id long, toxic int").write.parquet(str(d / "labels.parquet"))
+        got = corpus_pipeline.run(spark, str(d)).collect()
+        # line dedup has taken the only line of 101 and 102: they stay, empty, with the end token alone
+        assert {r.doc_id for r in got} == ({*range(60), 100, 101, 102, None} if own else set())
+        assert {r.doc_id for r in got if r.doc_tokens == 1} == ({101, 102} if own else set())
+
+
+def test_pipeline_from_another_folder(tmp_path):
+    """Workers get the package from the session, not from their working directory."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    repo = Path(corpus_pipeline.__file__).resolve().parent
+    code = f"""
+import sys
+sys.path.insert(0, {str(repo)!r})
+from pyspark.sql import SparkSession
+import corpus_pipeline
+s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+d = s.createDataFrame([(i, "some words here " + str(i), "aa", "s", 1) for i in range(5)], "doc_id long, text string, lang string, source string, n_chars long")
+print("ROWS", corpus_pipeline.in_some_language(s, d, "").count())
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert "ROWS 5" in done.stdout, done.stderr[-2000:]

@@ -1,6 +1,6 @@
 """Approximate nearest neighbours: a hierarchical k-means tree searched best bin first.
 
-The tree is fitted on a bounded sample (FIT_ROWS vectors, chosen by hash of vec_id). Every vector goes
+The tree is fitted on a bounded sample (FIT_ROWS vectors, chosen by a hash of the vector). Every vector goes
 to the leaf that it reaches by the nearest child at each node. A query visits leaves in the order of
 a priority queue over the tree's nodes, keyed by distance to their centres. How many leaves is
 calibrated: sample queries are run with widening visits until their mean recall against brute force

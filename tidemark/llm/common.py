@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import tempfile
 import threading
 import uuid
@@ -23,7 +24,7 @@ _shipped: set[str] = set()
 
 
 def prepare(spark: SparkSession) -> None:
-    """Give the package to the executors once per application and bound the size of Arrow batches."""
+    """Give the package to the executors once per application and bound the size of Arrow batches (a setting of the session, which stays)."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
     app = spark.sparkContext.applicationId
     with _lock:
@@ -39,10 +40,12 @@ def prepare(spark: SparkSession) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where none is set (tests)."""
+    """The shared folder of the session; a temporary one only where none is set and all runs on this machine (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     with _lock:
         if not hasattr(scratch_root, "own"):
             scratch_root.own = "file://" + tempfile.mkdtemp(prefix="tidemark-scratch-")

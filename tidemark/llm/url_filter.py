@@ -3,7 +3,7 @@
 A rule has literal tokens (runs of a-z and 0-9 that any URL it fits must hold as whole tokens) and a
 regular expression. Token counts over all URLs say which literal of each rule is rarest; the index
 holds each rule under that one. A URL's own tokens fetch candidate rules, and only those run their
-expression. Everything is DataFrame expressions. The index is a map literal while there are at most
+expression; a rule without a literal runs on every URL. Everything is DataFrame expressions. The index is a map literal while there are at most
 LITERAL_RULES rules; a larger rule set is joined by token instead.
 
 The verdict is the longest site rule's that fits; else block if any pattern rule fits; else allow.
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 #: Rules up to this many are matched through a map literal in the plan.
 LITERAL_RULES = 2_000
+#: Every URL has this token: rules without a literal run on all of them.
+ANY = ""
 
 
 @dataclass(frozen=True)
@@ -72,7 +74,7 @@ def rarest_literals(pages: DataFrame, rules: tuple[Rule, ...]) -> dict[str, str]
     if len(wanted) > LITERAL_RULES:
         counts = counts.join(pages.sparkSession.createDataFrame([(t,) for t in wanted], "token string"), "token", "left_semi")
     seen = {r.token: r.n for r in counts.collect()}  # as many rows as there are literals at most
-    return {r.name: min(r.literals, key=lambda t: (seen.get(t, 0), t)) for r in rules}
+    return {r.name: min(r.literals, key=lambda t: (seen.get(t, 0), t), default=ANY) for r in rules}
 
 
 def judge(spark: SparkSession, pages: DataFrame, rules: tuple[Rule, ...] = RULES, literal_rules: int = LITERAL_RULES) -> DataFrame:
@@ -82,6 +84,8 @@ def judge(spark: SparkSession, pages: DataFrame, rules: tuple[Rule, ...] = RULES
     parsed = parsed.select("page_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"))
     parsed = parsed.withColumn("subject", F.concat("host", "path")).withColumn("tokens", tokens(F.col("subject")))
     key = rarest_literals(parsed, rules)
+    if ANY in key.values():
+        parsed = parsed.withColumn("tokens", F.concat("tokens", F.array(F.lit(ANY))))
     if len(rules) <= literal_rules:
         by: dict[str, list[Rule]] = {}
         for r in rules:
