@@ -3,7 +3,11 @@
 Every stage but the last returns the columns of documents. Each works on all rows its predecessor
 kept; n_chars follows the text where a stage changes it. Rows that a stage drops: texts in no
 language (null, or without a letter); toxic texts (score of 0.5 or more); all but one of each group
-of near copies (the smallest doc_id stays). Line dedup drops no document.
+of near copies (the smallest doc_id stays). Line dedup drops no document: one whose lines all repeat
+earlier ones stays as an empty text, which the later stages keep and pack as its end token alone.
+
+Nulls in any column, repeated rows and null or repeated doc_ids go through every stage; other columns
+than those of documents are left behind, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import language_id, line_dedup, ngram_join, packing, toxicity
-from tidemark.llm.common import Scratch
+from tidemark.llm.common import Scratch, prepare
 from tidemark.sources.tables import table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -72,6 +76,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after another, each written to the shared folder and read again."""
+    prepare(spark)
     scratch, docs, before = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = scratch.write(stage(spark, docs, sf_dir), name)
