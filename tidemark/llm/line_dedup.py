@@ -43,6 +43,8 @@ LIST_ROWS, NEAR = 16_384, 32
 KEEP = 4
 #: Lists up to this long are compared together, and of a longer one about so many pairs at once.
 SHORT, BLOCK = 24, 1 << 20
+#: Bits of a word's hash in a posting; two words of equal bits only make more pairs to rule out.
+WORD_BITS = 40
 NO_LEAD = 1 << 30
 
 
@@ -229,7 +231,7 @@ def _found(percent: int, list_rows: int = LIST_ROWS, near: int = NEAR, keep: int
             end = [x[int(starts[-1]) :] for x in c]
             held = [np.concatenate((x[:near], x[-near:])) if cut and size > 2 * near else x for x in end]
             y, x, d = (np.concatenate([g[i] for g in got]) if got else np.zeros(0, dtype=np.int64) for i in range(3))
-            ok = likely(c, y, x, d)
+            ok = likely(c, y, x, d) & (c[1][x] != c[1][y])
             y, x, d = y[ok], x[ok], d[ok]
             twin = c[5][x] == c[5][y]  # either may be the earlier line
             y, x, d = np.concatenate((y, x[twin])), np.concatenate((x, y[twin])), np.concatenate((d, d[twin])).astype(np.int64)
@@ -269,7 +271,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, le
     meta = F.expr("shiftleft(n, 30) | (skip + pos + 1)").alias("meta")
 
     def postings(of: DataFrame) -> DataFrame:
-        return of.select("sid", "n", "skip", "m1", "m2", F.col("first.doc_id").alias("doc"), F.posexplode("prefix").alias("pos", "token")).select("token", "sid", meta, "m1", "m2", "doc")
+        return of.select("sid", "n", "skip", "m1", "m2", F.col("first.doc_id").alias("doc"), F.posexplode("prefix").alias("pos", "word")).select(F.col("word").bitwiseAND(F.lit((1 << WORD_BITS) - 1)).alias("token"), "sid", meta, "m1", "m2", "doc")
 
     lists = postings(classes).repartition("token").sortWithinPartitions("token", "doc", "sid").select("token", "sid", "meta", "m1", "m2", F.xxhash64("doc").alias("doc"))
     found = scratch.write(lists.mapInArrow(_found(percent), "sid long, lead long, differ int, more boolean"), "found")
