@@ -35,8 +35,8 @@ PERCENT = 75
 MOST_MATCHES, POSTING_COST, VERIFY_COST = 4, 4.0, 16.0
 #: Texts of a task whose prefixes are remembered, so that copies in it are given out once.
 SEEN = 1 << 19
-#: Earlier tokens that a posting of the second round holds.
-EARLIER = 64
+#: Earlier tokens that a posting of the second round holds: all, if its set has up to WHOLE postings there, else the EARLIER latest.
+WHOLE, EARLIER = 64, 8
 
 
 def shingles(texts: list[bytes], k: int = SHINGLE_WORDS) -> list[np.ndarray]:
@@ -153,13 +153,14 @@ def _possible(a: str, b: str, percent: int) -> str:
 def candidates(postings: DataFrame, percent: int) -> DataFrame:
     """Rows (a, b, c, need) of pairs a < b of postings (token, sid, meta, root) with different roots; sum(c) >= need for all that may be linked.
 
-    Each posting holds its set's EARLIER tokens before it, so a pair is given out at the token where it
-    has shared enough and not at each further one; there the number shared so far is exact, which makes
-    the positional filter sharp. Sets of more tokens than EARLIER know only the latest of them: a pair of
-    such a set may come once for each token it needs.
+    Each posting holds tokens of its set before it, so a pair is given out at the token where it has shared
+    enough and not at each further one; there the number shared so far is exact, which makes the positional
+    filter sharp. Sets of more than WHOLE postings know only the EARLIER latest tokens: a pair of such a set
+    may come once for each token it needs.
     """
     own = Window.partitionBy("sid").orderBy(F.expr(_POS.format("meta")), "token")
-    held = postings.withColumn("before", F.collect_list("token").over(own.rowsBetween(-EARLIER, -1))).withColumn("whole", F.count(F.lit(1)).over(Window.partitionBy("sid")) <= EARLIER)
+    held = postings.withColumn("before", F.collect_list("token").over(own.rowsBetween(1 - WHOLE, -1))).withColumn("whole", F.count(F.lit(1)).over(Window.partitionBy("sid")) <= WHOLE)
+    held = held.withColumn("before", F.when(F.col("whole") | (F.size("before") <= EARLIER), F.col("before")).otherwise(F.slice("before", -EARLIER, EARLIER)))
     x, y = (held.select("token", *(F.col(c).alias(f"{side}_{c}") for c in ("sid", "meta", "root", "before", "whole"))) for side in "ab")
     need, both = f"least({_L.format('a_meta')}, {_L.format('b_meta')})", "size(array_intersect(a_before, b_before))"
     m, n = _terms("a_meta", percent), _terms("b_meta", percent)
@@ -229,8 +230,9 @@ def _join(spark: SparkSession, docs: DataFrame, percent: int, all_links: bool) -
     more = linked(rest, "rest")
     roots = components(spark, links.union(more), scratch, "last")
     by_root = reps.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("sid", F.coalesce("root", "sid").alias("root"), "id")
-    least = by_root.groupBy("root").agg(F.min("id").alias("component_id"))
+    by_root = scratch.write(by_root, "by_root")  # two tables: the join with a root that very many sets have can be split
+    least = scratch.write(by_root.groupBy("root").agg(F.min("id").alias("component_id")), "least")
     named = scratch.write(by_root.join(least, "root").select("sid", "component_id"), "named")
     del rest, by_root, least, roots
-    scratch.drop("open", "sketches", "first", "star-pairs", "rest-pairs", "star-links", "rest-links")
+    scratch.drop("open", "sketches", "first", "star-pairs", "rest-pairs", "star-links", "rest-links", "by_root", "least")
     return members.select("doc_id", "sid", F.col("n").alias("n_shingles")).join(named, "sid", "left").select("doc_id", "n_shingles", F.expr("case when sid is null then doc_id else component_id end").alias("component_id"))
