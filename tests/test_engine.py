@@ -11,6 +11,7 @@ from tidemark import catalog, config, schemas
 from tidemark.config import DAY, Config
 from tidemark.functions import daily_max, duration_seconds, in_hours, reply_length, shown_time, slot_start
 from tidemark.operators import context, gate, memory, reactions, scans
+from tidemark.operators import phrases as phrases_of
 from tidemark.plans import contract, schedule, simulate
 
 CFG = Config()
@@ -218,6 +219,23 @@ def test_forgotten(spark):
     assert sorted((r.user_id, r.text) for r in memory.without_forgotten(rows, "text", gone).collect()) == [(1, "dog"), (2, "cat")]
 
 
+def test_forgotten_by_everyone_equals_every_pair(spark, monkeypatch):
+    texts = ["", None, "lost my cat today", "cat", "a", "dog", "nightcats", "x my ca", "고양이 찻집", "찻집", " y cat ", "lost my cat today"]
+    phrases = ["my cat", " 찻집 ", "  ", "night", "my cat", "돌고래 찻집 앞", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n long, text string")
+    gone = spark.createDataFrame([(p,) for p in phrases], "text string")
+    held = [p.strip() for p in phrases if p and p.strip()]
+    want = [n for n, t in enumerate(texts) if t is None or not any(p in t.strip() or t.strip() in p for p in held)]
+    stripped = rows.withColumn("text", F.trim("text"))
+    assert sorted(r.n for r in memory.without_forgotten(rows, "text", gone, keys=()).collect()) == want
+    monkeypatch.setattr(phrases_of, "BLOCK_CHARS", 4)  # short texts in several automata
+    assert phrases_of.within({"cat", "y ca", "dog"}, held) == {"cat", "y ca"}
+    own = spark.createDataFrame([(p,) for p in set(held)], "phrase string")
+    assert sorted(r.n for r in phrases_of.without(stripped, "text", own, block_chars=3).collect()) == want  # many blocks
+    assert memory.without_forgotten(rows, "text", gone.limit(0), keys=()).count() == len(texts)
+    assert memory.without_forgotten(rows.limit(0), "text", gone, keys=()).count() == 0
+
+
 ITEMS = "user_id long, kind string, id long, text string, live boolean"
 
 
@@ -318,6 +336,21 @@ def test_slots_agree_with_simulation_rules(spark):
             assert got[at(h)] == reason(spark, rows, at(h)), h
 
 
+def test_slots_after_a_long_past(spark):
+    past = [(at(9, day=-30), "send", "recall"), (at(9, 5, day=-30), "user", None), (at(12, day=-20), "send", "recall"), (at(18, day=-15), "assistant", None)]
+    week = [(at(10, day=-7), "send", "recall"), (at(10, 59, day=-7), "user", None), (at(13, day=-5), "send", "recall"), (at(22, 30, day=-1), "send", "recall"), (at(15, day=2), "user", None)]
+    none = spark.createDataFrame([], NO_SETTINGS)
+    for rows in (past, past[:1], past[:2], past[3:], past + week, week):
+        log = log_of(spark, rows)
+        got = {r.ts: (r.reason, r.samples, r.sent_today, r.daily_max) for r in gate.check_slots(log, none, at(0), at(24), CFG).collect()}
+        assert len(got) == 24
+        for h in (0, 9, 12, 13, 23):
+            if rows[0][0] > at(h):
+                continue
+            f = gate.check(log, none, at(h), CFG).collect()[0]
+            assert got[at(h)] == (f.reason, f.samples, f.sent_today, f.daily_max), (rows, h)
+
+
 def test_streaming_equals_batch(spark, tmp_path):
     from tidemark import streaming
 

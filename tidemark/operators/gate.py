@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import DAY, Config
-from ..functions import daily_max, day_start, in_hours, minutes, next_slot
+from ..functions import daily_max, day_start, in_hours, minutes, slot_start
 from .reactions import response_rate, sends, unanswered_today
 from .scans import settings_of
 
@@ -54,16 +54,31 @@ def slots(log: DataFrame, start: int, end: int, cfg: Config) -> DataFrame:
     return users.withColumn("day", days).withColumn("at", within).select("user_id", (F.col("day") + F.col("at")).alias("ts")).filter((F.col("ts") >= start) & (F.col("ts") < end))
 
 
+def before_week(past: DataFrame, cfg: Config) -> DataFrame:
+    """Each user's last SEND, with whether it was answered, and last other row: all that later slots need of a log."""
+    send, ts = F.col("kind") == "send", F.col("ts")
+    slots_ = past.groupBy("user_id", slot_start(ts, cfg.slot).alias("slot")).agg(
+        F.max(F.when(send, F.struct("ts", "id"))).alias("s"), F.max(F.when(F.col("kind") == "user", ts)).alias("u"), F.max(F.when(~send, ts)).alias("o")
+    )
+    # the slot's last SEND is answered if the slot's last user row isn't before it
+    answered = F.struct("s.ts", "s.id", F.lit("send").alias("kind"), F.coalesce(F.col("u") >= F.col("s.ts"), F.lit(False)).alias("ok"))
+    own = slots_.groupBy("user_id").agg(F.max(F.when(F.col("s").isNotNull(), answered)).alias("s"), F.max("o").alias("o"))
+    other = F.struct(F.col("o").alias("ts"), F.lit(0).cast("long").alias("id"), F.lit("other").alias("kind"), F.lit(None).cast("boolean").alias("ok"))
+    return own.select("user_id", F.explode(F.filter(F.array(F.col("s"), other), lambda r: r["ts"].isNotNull())).alias("r")).select("user_id", "r.id", "r.ts", "r.kind", "r.ok")
+
+
 def check_slots(log: DataFrame, settings: DataFrame, start: int, end: int, cfg: Config) -> DataFrame:
     """The gate at every slot boundary against a fixed log: windows over each user's log, no as-of joins.
 
-    At a boundary every earlier SEND is final and one of the same second is pending.
+    At a boundary every earlier SEND is final and one of the same second is pending. Rows from end on are not
+    read; those from before the first slot's week are one row or two for each user.
     """
-    last = 1 << 60
-    sent = sends(log, last, cfg).select("user_id", "id", "ts", F.lit("send").alias("kind"), F.coalesce("replied", F.lit(False)).alias("ok"))
-    other = log.filter("kind <> 'send'").select("user_id", "id", "ts", "kind", F.lit(None).cast("boolean").alias("ok"))
+    last, old = 1 << 60, start - start % DAY - 7 * DAY
+    near = log.filter((F.col("ts") >= old) & (F.col("ts") < end))
+    sent = sends(near, last, cfg).select("user_id", "id", "ts", F.lit("send").alias("kind"), F.coalesce("replied", F.lit(False)).alias("ok"))
+    other = near.filter("kind <> 'send'").select("user_id", "id", "ts", "kind", F.lit(None).cast("boolean").alias("ok"))
     ticks = slots(log, start, end, cfg).select("user_id", F.lit(last).alias("id"), "ts", F.lit("tick").alias("kind"), F.lit(None).cast("boolean").alias("ok"))
-    rows = sent.unionByName(other).unionByName(ticks).withColumn("day", day_start(F.col("ts")))
+    rows = sent.unionByName(other).unionByName(before_week(log.filter(F.col("ts") < old), cfg)).unionByName(ticks).withColumn("day", day_start(F.col("ts")))
     send, ok = F.col("kind") == "send", F.col("ok")
     week = Window.partitionBy("user_id").orderBy("ts").rangeBetween(-7 * DAY, -1)
     so_far = Window.partitionBy("user_id").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)

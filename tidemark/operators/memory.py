@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..config import DAY
 from ..functions import is_hhmm, seconds_of, strip
 from ..schemas import IMPORTANCES, LEVELS
+from .phrases import without
 from .scans import live
 
 #: Forgotten phrases up to this many are broadcast; more are left to the planner, by user.
@@ -43,9 +44,11 @@ def state_days(text: Column) -> Column:
 
 
 def without_forgotten(rows: DataFrame, text: str, forgotten: DataFrame, keys: tuple[str, ...] = ("user_id",)) -> DataFrame:
-    """Rows that neither hold a forgotten phrase nor lie within one."""
+    """Rows that neither hold a forgotten phrase nor lie within one. Without keys every phrase counts for every row."""
     phrases = forgotten.select(*(F.col(k).alias(f"_{k}") for k in keys), strip(F.col("text")).alias("_phrase")).filter("_phrase <> ''").distinct()
     stripped = rows.withColumn("_text", strip(F.col(text)))  # once a row, not once a pair
+    if not keys:
+        return without(stripped, "_text", phrases).drop("_text")
     hit = F.col("_text").contains(F.col("_phrase")) | F.col("_phrase").contains(F.col("_text"))
     for k in keys:
         hit = hit & (F.col(k) == F.col(f"_{k}"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 
 from ..config import DAY, Config
 from ..schemas import MESSAGE_TYPES
+from ..shipping import ship
 
 
 def in_turn(user_id: int, now: int, last: str | None) -> tuple[str, str] | str:
@@ -79,9 +80,10 @@ class Feedback:
 
 def simulate(messages: DataFrame, ticks: DataFrame, cfg: Config, decide: Callable = in_turn) -> DataFrame:
     """Decisions at ticks (user_id, ts), given the users' messages (user_id, ts)."""
+    ship(messages.sparkSession)
     rows = messages.selectExpr("user_id", "ts", "0 as tick").unionByName(ticks.selectExpr("user_id", "ts", "1 as tick"))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         state, out = Feedback(cfg), []
         for ts, tick in pdf.sort_values(["ts", "tick"])[["ts", "tick"]].itertuples(index=False):
             if tick:
