@@ -567,6 +567,18 @@ def test_recall_where_the_tree_knows_a_part(spark):
     assert hits >= 0.9 * 400 and all(len(x) == 10 for x in got.values())
 
 
+def test_split_leaves_and_queries_change_no_neighbour(spark, monkeypatch):
+    rng = np.random.default_rng(43)
+    v = rng.normal(size=(900, 4))
+    v[:300] = v[0]  # a third of all rows are one vector, and ask
+    df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "vec_id long, embedding array<double>")
+    run = lambda: sorted(map(tuple, ann.search(spark, df, F.col("vec_id") % 5 == 0, fit_rows=300).collect()))
+    whole = run()
+    monkeypatch.setattr(ann, "PART_ROWS", 20)
+    monkeypatch.setattr(ann, "PART_QUERIES", 7)
+    assert run() == whole and len(whole) == 180 * 10
+
+
 def test_rules_without_a_literal_run_on_every_url(spark):
     rule = url_filter.Rule("digits", "block", "^[0-9.]+(/|$)", (), False)
     pages = spark.createDataFrame([(1, "http://1.2.3.4/x"), (2, "http://a.org/1"), (3, None)], "page_id long, url string")

@@ -7,8 +7,8 @@ calibrated: sample queries are run with widening visits until their mean recall
 over the sample reaches RECALL; if it never does, all leaves are visited, which is exact.
 
 Equal vectors are one candidate with its smallest ids, as many as a result can hold, so a vector that
-a third of all rows share costs no more than another. Leaves with many different vectors are split
-by hash into parts of bounded size, each searched by a task of its own.
+a third of all rows share costs no more than another. Leaves with many different vectors or many queries
+are split by hash into parts of bounded size; each part of the one and of the other is a task of its own.
 
 Vectors that are null, zero, of another length than most, or that hold null or non-finite components
 take no part, and so do rows with a null id. Repeated ids stay candidates each by its vector, nearest first.
@@ -31,8 +31,8 @@ from .common import Scratch, prepare
 FIT_ROWS, BRANCH, LEAF_ROWS = 60_000, 12, 60
 #: Calibration: queries, the recall to reach, and what is added to the leaf visits then.
 PROBES, RECALL, MARGIN = 256, 0.97, 1.25
-#: Different vectors in one part of a leaf.
-PART_ROWS = 20_000
+#: Different vectors, and queries, in one part of a leaf.
+PART_ROWS, PART_QUERIES = 20_000, 20_000
 
 
 class Tree:
@@ -165,18 +165,20 @@ def search(spark: SparkSession, vectors: DataFrame, queries: Column, k: int = 10
 
     def widen(it):
         for batch in it:
-            m = _matrix(batch.column(1))
-            seen = [shared.value.visit(q, visits) for q in m]
-            owner = np.repeat(np.arange(len(m)), [len(s) for s in seen])
-            leaf = np.concatenate(seen) if seen else np.zeros(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), *(c.take(pa.array(owner)) for c in batch.columns)], names=["leaf", "query_id", "q"])
+            seen = [shared.value.visit(q, visits) for q in _matrix(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(seen, pa.list_(pa.int64()))], names=["query_id", "q", "leaves"])
 
     element = v.schema["embedding"].dataType.simpleString()
     placed = scratch.write(different.mapInArrow(place, f"leaf long, embedding {element}, ids array<long>"), "placed")
-    parts = placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(PART_ROWS)).cast("int").alias("parts"))  # a row a leaf
-    index = placed.join(F.broadcast(parts), "leaf").withColumn("part", F.pmod(F.xxhash64("embedding"), F.col("parts")).cast("int"))
     asking = v.filter("asks").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")).distinct()
-    asked = asking.mapInArrow(widen, f"leaf long, query_id long, q {element}").join(F.broadcast(parts), "leaf").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    asked = scratch.write(asking.mapInArrow(widen, f"query_id long, q {element}, leaves array<long>"), "asked")
+    # a row a leaf; a leaf's vectors and its queries are both split by hash, and each part of the one meets each part of the other
+    held = placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(PART_ROWS)).cast("int").alias("parts"))
+    asks = asked.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(PART_QUERIES)).cast("int").alias("asks"))
+    split = scratch.write(held.join(asks, "leaf"), "split")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    index = placed.join(F.broadcast(split), "leaf").withColumn("part", F.pmod(F.xxhash64("embedding"), F.col("parts")).cast("int")).withColumn("ask", every("asks"))
+    asked = asked.select("query_id", "q", F.explode("leaves").alias("leaf")).join(F.broadcast(split), "leaf").withColumn("ask", F.pmod(F.xxhash64("query_id", "q"), F.col("asks")).cast("int")).withColumn("part", every("parts"))
 
     def nearest(key, left, right):
         q, c = _matrix(left.column("q").combine_chunks()), _matrix(right.column("embedding").combine_chunks())
@@ -196,7 +198,7 @@ def search(spark: SparkSession, vectors: DataFrame, queries: Column, k: int = 10
                 out[2] += [dist for dist, _ in found]
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
-    found = asked.select("leaf", "part", "query_id", "q").groupBy("leaf", "part").cogroup(index.select("leaf", "part", "embedding", "ids").groupBy("leaf", "part")).applyInArrow(nearest, "query_id long, vec_id long, score double")
+    found = asked.select("leaf", "part", "ask", "query_id", "q").groupBy("leaf", "part", "ask").cogroup(index.select("leaf", "part", "ask", "embedding", "ids").groupBy("leaf", "part", "ask")).applyInArrow(nearest, "query_id long, vec_id long, score double")
     # a repeated id keeps its nearest vector
     best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy("score", "vec_id")
