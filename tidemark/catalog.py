@@ -248,6 +248,38 @@ def by_id(s, d):
     return scans.by_id(e, e.filter("id % 100 = 1").select("user_id", "id")).select("user_id", "id", "summary")
 
 
+def user_message_times(s, d):
+    return scans.user_times(_log(s, d), WEEK_AGO)
+
+
+def live_states(s, d):
+    states = _log(s, d).filter("k % 17 = 0").select("user_id", "id", F.concat(F.lit("s"), F.col("k").cast("string")).alias("statement"), F.col("ts").alias("created_at"), (F.col("ts") + 3 * DAY).alias("expires_at"))
+    return memory.live_states(states, AS_OF).select("user_id", "n", "id", "statement")
+
+
+def settings_patch(s, d):
+    """Every fifth user sets a frequency twice and takes the quiet time back."""
+    rows = _set(s, d, AS_OF)
+    fifth = rows.filter("user_id % 5 = 0").select("user_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("seq"))
+    changes = fifth.select("user_id", "seq", F.when(F.col("seq") == 1, "low").otherwise("high").alias("preferred_frequency"), F.lit(None).cast("long").alias("do_not_disturb_until"))
+    return scans.patch(rows, changes, ("preferred_frequency", "do_not_disturb_until"), keys=("user_id",), nulls=True).select("user_id", "preferred_frequency", "do_not_disturb_until")
+
+
+def forget_commands(s, d):
+    """Every tenth user forgets an episode by its id, which rules the text out; the next one by text alone."""
+    e = _episodes(s, d)
+    live = F.col("expires_at").isNull() | (F.col("expires_at") > EPISODE_DAY)
+    items = e.select("user_id", F.lit("episode").alias("kind"), "id", F.col("summary").alias("text"), live.alias("live"))
+    own = e.groupBy("user_id").agg(F.min("id").alias("id"))
+    ids = F.when(F.col("user_id") % 10 == 0, F.array(F.concat(F.lit("episode:"), F.col("id").cast("string"))))
+    commands = own.filter("user_id % 10 < 2").select("user_id", F.lit("order F").alias("target"), ids.alias("target_ids"))
+    return memory.forget(items, commands)[0].select("user_id", "kind", "id")
+
+
+def iso_times(s, d):
+    return scans.last(_log(s, d)).select("user_id", contract.iso_text(F.col("ts"), "Asia/Seoul").alias("at"))
+
+
 def memory_described(s, d):
     lines = memory_listing(s, d)
     return memory.described(_log(s, d).select("user_id"), lines)
@@ -302,7 +334,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "gate_reason_asof gate_reason_by_slot daily_max_now skip_reason_counts weekly_stats activity_hours messages_between recent_messages_topk today_tail last_message recent_sends_types "
         "pending_sends messages_after settings_defaults episode_build active_episodes purge_counts episode_rank unresolved_near episode_resolve state_clamp hypothesis_levels hypothesis_rank "
         "contradicted_delete hypothesis_fold forgotten_filter memory_listing reflection_upsert ordered_dedup slot_calendar weekday_trigger reflection_windows shown_times context_documents feedback_simulation "
-        "reflections_since has_reflection reflection_events reflection_resolved hypothesis_match change_replay by_id memory_described chat_effects chat_frequency"
+        "reflections_since has_reflection reflection_events reflection_resolved hypothesis_match change_replay by_id memory_described chat_effects chat_frequency user_message_times live_states settings_patch forget_commands iso_times"
     )
     return {n: globals()[n] for n in names.split()}
 

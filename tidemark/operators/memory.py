@@ -43,6 +43,12 @@ def state_days(text: Column) -> Column:
     return F.least(F.when(n >= 1, n).otherwise(3), F.lit(14))
 
 
+def live_states(states: DataFrame, as_of: int) -> DataFrame:
+    """States that last, with n counting from each user's newest."""
+    w = Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.desc("id"))
+    return live(states, as_of).withColumn("n", F.row_number().over(w))
+
+
 def without_forgotten(rows: DataFrame, text: str, forgotten: DataFrame, keys: tuple[str, ...] = ("user_id",)) -> DataFrame:
     """Rows that neither hold a forgotten phrase nor lie within one. Without keys every phrase counts for every row."""
     phrases = forgotten.select(*(F.col(k).alias(f"_{k}") for k in keys), strip(F.col("text")).alias("_phrase")).filter("_phrase <> ''").distinct()

@@ -28,6 +28,11 @@ def by_id(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.join(keys, ["user_id", "id"], "left_semi")
 
 
+def user_times(log: DataFrame, since: int) -> DataFrame:
+    """When users wrote, from an instant on."""
+    return log.filter((F.col("kind") == "user") & (F.col("ts") >= since)).select("user_id", "ts")
+
+
 def live(rows: DataFrame, as_of: int) -> DataFrame:
     """Not expired; a null expiry means never."""
     return rows.filter(F.col("expires_at").isNull() | (F.col("expires_at") > as_of))

@@ -149,6 +149,13 @@ def sql(as_of: int, start: int, end: int, episode_day: int) -> dict[str, str]:
             g as (select p.* from p left join (select user_id, key, max(seq) as del from c where op = 'delete' group by 1, 2) x using (user_id, key) where del is null or put > del),
             w as (select g.user_id, g.key, max(seq) as seq from g join c using (user_id, key) where op in ('put', 'patch') group by 1, 2)
             select g.user_id, g.key as id, a.kind, b.k from g join w on w.user_id = g.user_id and w.key = g.key join c a on a.user_id = g.user_id and a.seq = w.seq join c b on b.user_id = g.user_id and b.seq = g.put""",
+        "user_message_times": f"with {log} select user_id, ts from log where kind = 'user' and ts >= {week}",
+        "live_states": f"with {log} select user_id, row_number() over (partition by user_id order by ts desc, id desc) as n, id, 's' || k as statement from log where k % 17 = 0 and ts + {3 * DAY} > {as_of}",
+        "settings_patch": f"""with {settings} select user_id, case when user_id % 5 = 0 then 'high' else freq end as preferred_frequency,
+            case when user_id % 5 <> 0 then quiet end as do_not_disturb_until from setting""",
+        "forget_commands": f"""with {episode} select user_id, 'episode' as kind, min(id) as id from episode where user_id % 10 = 0 group by 1
+            union all select user_id, 'episode', id from episode where user_id % 10 = 1 and contains(summary, 'order F') and (expires_at is null or expires_at > {episode_day})""",
+        "iso_times": f"with {log} select user_id, strftime(make_timestamp(max(ts) * 1000000), '%Y-%m-%dT%H:%M:%S') || '+09:00' as at from log group by 1",
         "by_id": f"with {episode} select user_id, id, summary from episode where id % 100 = 1",
         "memory_described": f"""with {log}, {update}, {episode}, l as (select user_id, 1 as section, id as n, '- ' || statement as line from hyp where level <> 'mentioned'
             union all select user_id, 2, id, '- ' || summary || coalesce(' (' || strftime(related_date, '%m/%d') || ')', '') from episode where not resolved and expires_at > {episode_day}
