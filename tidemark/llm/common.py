@@ -8,35 +8,24 @@ import re
 import tempfile
 import threading
 import uuid
-import zipfile
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import ship
+
 #: Arrow batches sent to Python stay under this, whatever the length of the texts.
 ARROW_BATCH_BYTES = 16 << 20
 #: Texts are handled together up to about this many bytes.
 CHUNK_BYTES = 1 << 20
 
 _lock = threading.Lock()
-_shipped: set[str] = set()
 
 
 def prepare(spark: SparkSession) -> None:
     """Give the package to the executors once per application and bound the size of Arrow batches (a setting of the session, which stays)."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
-    app = spark.sparkContext.applicationId
-    with _lock:
-        if app in _shipped:
-            return
-        root = Path(__file__).resolve().parents[1]
-        out = os.path.join(tempfile.mkdtemp(prefix="tidemark-"), "tidemark_code.zip")
-        with zipfile.ZipFile(out, "w") as z:
-            for p in sorted(root.rglob("*.py")):
-                z.write(p, p.relative_to(root.parent))
-        spark.sparkContext.addPyFile(out)
-        _shipped.add(app)
+    ship(spark)
 
 
 def scratch_root(spark: SparkSession) -> str:
