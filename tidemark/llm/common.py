@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import os
 import re
 import tempfile
 import threading
