@@ -20,6 +20,8 @@ doc_id are ordered by text, and each has its successor. One row: it is its own n
 from __future__ import annotations
 
 import hashlib
+import json
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,8 @@ WINDOW, REACH = 32, 32
 FILTER_BITS, BITS_EACH, FEATURES = 2048, 5, 160
 LEVELS = 256
 GROUP_BYTES = 1 << 19
-#: Documents in a range, about, and the most ranges.
-DOCS_PER_RANGE, MOST_RANGES = 1_500, 2_048
+#: Documents in a range, about, and the most ranges; ids read for each range to find its bounds.
+DOCS_PER_RANGE, MOST_RANGES, SPREAD = 1_500, 1 << 16, 32
 
 _F = np.round(np.arange(WINDOW + 1) * np.log2(np.maximum(np.arange(WINDOW + 1), 1)) * 65536).astype(np.int64)
 _STEP = np.diff(_F)  # what the k-th equal byte adds
@@ -183,32 +185,40 @@ def groups(column):
         yield held
 
 
-def _range_of(bounds: list[int], c: Column, lo: int = 0, hi: int | None = None) -> Column:
-    """How many bounds are at most c: a balanced tree of comparisons."""
-    hi = len(bounds) if hi is None else hi
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(c < bounds[mid], _range_of(bounds, c, lo, mid)).otherwise(_range_of(bounds, c, mid + 1, hi))
+def _bounds(ids: DataFrame, ranges: int, n: int) -> list:
+    """Fewer than `ranges` doc_ids, rising, that part the rows about evenly: of ids chosen by hash, every SPREAD-th."""
+    share = max(1, min(1 << 30, round((1 << 30) * SPREAD * ranges / n)))
+    some = sorted(set(ids.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share).toArrow().column("doc_id").to_pylist()))
+    step = max(1, len(some) // ranges)
+    return some[step::step][: ranges - 1]
+
+
+def _placed(bounds: list, kind: str) -> tuple[Column, Column]:
+    """How many bounds are at most doc_id, and whether it is one: counted in two steps of about sqrt(bounds) comparisons."""
+    if not bounds:
+        return F.lit(0), F.lit(False)
+    step = isqrt(len(bounds))
+    parts = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    # read from JSON once, when the plan is optimised; a literal for each bound would make a huge plan
+    known = lambda values, of: F.from_json(F.lit(json.dumps(values)), of)
+    below = lambda values: F.size(F.filter(values, lambda x: x <= F.col("doc_id")))
+    part = below(known([x[0] for x in parts], f"array<{kind}>"))
+    own = F.element_at(known(parts, f"array<array<{kind}>>"), part)
+    none = F.col("doc_id").isNull() | (part == 0)
+    return F.when(none, 0).otherwise((part - 1) * step + below(own)), F.when(none, False).otherwise(F.element_at(own, below(own)) == F.col("doc_id"))
 
 
 def with_next(docs: DataFrame, per_range: int = DOCS_PER_RANGE) -> DataFrame:
-    """docs (doc_id, text) in ranges: range, doc_id, text, extra; extra rows only end a range."""
+    """docs (doc_id, text) in ranges: range, extra, doc_id, text; extra rows only end a range."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    n = docs.count()
-    ranges = max(1, min(MOST_RANGES, n // per_range))
-    bounds: list[int] = []
-    if ranges > 1:
-        found = docs.select(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 100 * ranges).alias("q")).first().q
-        least = docs.agg(F.min("doc_id")).first()[0]
-        bounds = sorted({b for b in found or [] if b > least})
+    size = docs.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("known"), F.min("doc_id").alias("least")).first()
+    ranges = max(1, min(MOST_RANGES, size.n // per_range))
+    bounds = [b for b in _bounds(docs.select("doc_id").filter("doc_id is not null"), ranges, size.n) if b > size.least] if ranges > 1 else []
+    at, is_bound = _placed(bounds, docs.schema["doc_id"].dataType.simpleString())
     c = F.col("doc_id")
-    last = len(bounds)
-    at = F.when(c.isNull(), F.lit(0)).otherwise(_range_of(bounds, c))
-    first = docs.filter("doc_id is null").limit(1).count()
-    start = c.isNull() if first else c == F.lit(docs.agg(F.min("doc_id")).first()[0])
+    start = c.isNull() if size.known < size.n else c == F.lit(size.least)
     # a bound is a doc_id that is there, so its documents are the first of their range
-    extra = F.filter(F.array(F.when(c.isin(bounds), at - 1) if bounds else F.lit(None).cast("int"), F.when(start, F.lit(last))), lambda x: x.isNotNull())
+    extra = F.filter(F.array(F.when(is_bound, at - 1), F.when(start, F.lit(len(bounds)))), lambda x: x.isNotNull())
     rows = docs.select("doc_id", "text", at.alias("range"), F.coalesce(extra, F.array().cast("array<int>")).alias("also"))
     rows = rows.select("doc_id", "text", F.explode(F.concat(F.array(F.struct(F.col("range").alias("range"), F.lit(0).alias("extra"))), F.transform("also", lambda x: F.struct(x.alias("range"), F.lit(1).alias("extra"))))).alias("p"))
     return rows.select("p.range", "p.extra", "doc_id", "text")
