@@ -114,13 +114,21 @@ def learn(rows: DataFrame, lang: str = "lang", sample: int = DOCS_PER_LANGUAGE)
     return langs, np.log(counts / counts.sum(0)).astype(np.float32)
 
 
-def _em(like: np.ndarray, doc: np.ndarray, theta: np.ndarray, words: np.ndarray, bounds: np.ndarray, rounds: int) -> np.ndarray:
-    """theta after rounds of EM; words of a document lie together, from its bounds."""
-    for _ in range(rounds):
-        r = like * theta[doc]
-        r /= r.sum(1, keepdims=True) + 1e-30
-        theta = np.add.reduceat(r, bounds, axis=0) / words[:, None]
-    return theta
+def _em(like: np.ndarray, theta: np.ndarray, words: np.ndarray, bounds: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """theta (by language, document) after rounds of EM, and each word's likelihood under it.
+
+    like is by language, word; words of a document lie together, from its bounds. A language's new share is its old one
+    times the mean of its part in the words' likelihoods; every step runs along the words of one language.
+    """
+    many = words.astype(np.int64)
+    for k in range(rounds + 1):
+        whole = np.full(like.shape[1], 1e-30, dtype=np.float32)
+        for own, share in zip(like, theta):
+            whole += own * np.repeat(share, many)
+        if k < rounds:
+            part = np.reciprocal(whole)
+            theta = np.stack([share * np.add.reduceat(own * part, bounds) / words for own, share in zip(like, theta)])
+    return theta, whole
 
 
 def mixtures(log_like: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
@@ -131,12 +139,13 @@ def mixtures(log_like: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
     have, first = np.unique(doc, return_index=True)
     place = np.searchsorted(have, doc)
     words = np.diff(np.append(first, len(doc))).astype(np.float32)
-    top = log_like.max(1)
-    like = np.exp(log_like - top[:, None])
+    below = np.ascontiguousarray(log_like.T)
+    below = below - below.max(0)
+    like = np.exp(below)
     langs = log_like.shape[1]
-    full = _em(like, place, np.full((len(have), langs), 1 / langs, dtype=np.float32), words, first, EM_ROUNDS)
+    full = _em(like, np.full((langs, len(have)), 1 / langs, dtype=np.float32), words, first, EM_ROUNDS)[0].T
     order = np.argsort(-full, axis=1, kind="stable")
-    sums = np.add.reduceat(log_like - top[:, None], first, axis=0)
+    sums = np.add.reduceat(below, first, axis=1).T
     lead = sums.argmax(1)  # the best single language
     rank = np.argsort(order, axis=1, kind="stable")
     rank[np.arange(len(have)), lead] = -1
@@ -151,15 +160,12 @@ def mixtures(log_like: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
             break
         mask = np.zeros(len(have), dtype=bool)
         mask[going] = True
-        chosen = mask[place]
-        sub = np.cumsum(mask) - 1
-        d = sub[place[chosen]]
-        start = np.searchsorted(d, np.arange(len(going)))
+        start = np.concatenate(([0], np.cumsum(words[going])[:-1])).astype(np.int64)
         theta = np.where(rank[going] < size, np.maximum(full[going], 1e-3), 0).astype(np.float32)
         theta /= theta.sum(1, keepdims=True)
-        x = like[chosen]
-        theta = _em(x, d, theta, words[going], start, EM_ROUNDS)
-        value = np.add.reduceat(np.log((x * theta[d]).sum(1) + 1e-30), start) - (size - 1) / 2 * np.log(np.maximum(words[going], 2))
+        theta, whole = _em(like[:, mask[place]], theta.T, words[going], start, EM_ROUNDS)
+        theta = theta.T
+        value = np.add.reduceat(np.log(whole), start) - (size - 1) / 2 * np.log(np.maximum(words[going], 2))
         better = value > best_value[going]
         best[going[better]], best_value[going[better]] = theta[better], value[better]
         going = going[better]
@@ -185,19 +191,19 @@ def predict(spark: SparkSession, docs: DataFrame, model: tuple[list[str], np.nda
                 if held_docs:
                     d = np.concatenate(held_docs)
                     lo = d[0]
-                    share[lo : d[-1] + 1] = mixtures(np.concatenate(held_words), d - lo, int(d[-1] - lo + 1))
+                    share[lo : d[-1] + 1] = mixtures(np.concatenate(held_words, axis=1).T, d - lo, int(d[-1] - lo + 1))
                 held_words, held_docs, size = [], [], 0
 
             for owner, held in _packed(texts) if langs else ():
                 if held_docs and held_docs[-1][-1:] != owner[0] and size >= CHUNK_BYTES // 8:
                     settle()
                 code, starts, ends, text = _joined(owner, held)
-                ll = np.empty((len(starts), len(langs)), dtype=np.float32)
+                ll = np.empty((len(langs), len(starts)), dtype=np.float32)
                 if len(starts):
-                    total = np.zeros(len(code) + 1)
+                    total, ends = np.zeros(len(code) + 1), np.minimum(ends, len(code))
                     for i in range(len(langs)):
                         np.cumsum(table[code, i], out=total[1:], dtype=np.float64)
-                        ll[:, i] = total[np.minimum(ends, len(code))] - total[starts]
+                        ll[i] = total[ends] - total[starts]
                     held_words.append(ll)
                     held_docs.append(text)
                     size += len(starts)
