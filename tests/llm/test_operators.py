@@ -550,6 +550,16 @@ def test_ranges_change_no_fingerprint(spark, monkeypatch):
     assert sorted(map(tuple, fingerprint.fingerprints(spark, docs_of(spark, rows)).collect()), key=str) == whole
 
 
+def test_ranges_of_many_bounds(spark):
+    """As many bounds as there can be: each id is in the range that counting tells, and bounds are known as such."""
+    bounds = [7 * i - 1000 for i in range(1, fingerprint.MOST_RANGES)]
+    ids = [None, -(1 << 62), -993, -994, -992, 0, bounds[255], bounds[256] - 1, bounds[511], bounds[-1], bounds[-1] + 1, 1 << 62]
+    for some in ([], bounds[:1], bounds[:5], bounds):
+        at, is_bound = fingerprint._placed(some, "bigint")
+        for r in spark.createDataFrame([(i,) for i in ids], "doc_id long").select("doc_id", at.alias("at"), is_bound.alias("is_bound")).collect():
+            assert (r["at"], r.is_bound) == ((0, False) if r.doc_id is None else (int(np.searchsorted(some, r.doc_id, side="right")), r.doc_id in some))
+
+
 def test_recall_where_the_tree_knows_a_part(spark):
     """fit_rows far below the rows; leaves are split, and every row is indexed."""
     rng = np.random.default_rng(41)
