@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 pytest.importorskip("tidemark.llm")
 
 import corpus_pipeline  # noqa: E402
-from tidemark.llm import ann, boosting, fingerprint, language_id, line_dedup, ngram_join, packing, sampling, token_counts, toxicity, url_filter  # noqa: E402
+from tidemark.llm import ann, boosting, fingerprint, language_id, line_dedup, ngram_join, packing, prefix_join, sampling, token_counts, toxicity, url_filter  # noqa: E402
 from tidemark.llm.pieces import Vocabulary, default_model  # noqa: E402
 
 DOCS = "doc_id long, text string"
@@ -634,3 +634,52 @@ print("ROWS", corpus_pipeline.in_some_language(s, d, "").count())
 """
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
     assert "ROWS 5" in done.stdout, done.stderr[-2000:]
+
+
+def test_words_are_sorted_by_line_level_and_hash(monkeypatch):
+    rng = np.random.default_rng(2)
+    line = np.sort(rng.integers(5, 60, 4000))
+    h = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    h[::7] = h[0]
+    h[1::7] = h[0] ^ rng.integers(0, 8, len(h[1::7]), dtype=np.uint64)  # alike in all bits that a key has
+    rank = (h % np.uint64(5)).astype(np.uint8)
+    for h, rank in ((h, rank), (h | np.uint64(1 << 63), rank), (rng.integers(0, 1 << 63, 4000, dtype=np.uint64), rank)):
+        for level in (None, rank):
+            plain = np.lexsort((h, line) if level is None else (h, level, line))
+            for at in (line, line * (1 << 20)):  # the latter: more lines than a key has
+                got = line_dedup.in_order(at, h, level)
+                assert (line[got] == line).all() and (h[got] == h[plain]).all()
+    sorts, real = [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: sorts.append(len(keys)) or real(keys))
+    table = type("Table", (), {"value": np.full(1 << 16, 100, dtype=np.uint8)})
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1]), pa.array([" ".join(f"w{i}" for i in range(5000)) + "\na b\nb a"])], names=["row", "doc_id", "text"])
+    (got,) = line_dedup._index(table, 80, 1)(iter([batch]))
+    sid, prefix = got.column(3).to_pylist(), got.column(6).to_pylist()
+    assert not sorts  # one sort of plain keys is all that words of a corpus need
+    assert sid[1] == sid[2] != sid[0] and len(prefix[0]) == 1001 and np.all(np.diff(np.array(prefix[0]).view(np.uint64)) > 0)
+
+
+def test_range_of_ids_changes_no_line(spark):
+    rng = np.random.default_rng(8)
+    lines = [" ".join(f"w{k}" for k in rng.integers(0, 60, 12)) for _ in range(60)]
+    rows = []
+    for i in range(80):
+        text = "\n".join(lines[k] + ("" if rng.random() < 0.5 else f" x{rng.integers(0, 9)}") for k in rng.integers(0, 60, 6))
+        rows.append((i if i else None, text))
+    found = []
+    for wide in (1, 10**12):  # in one number with the word, and beside it
+        docs = docs_of(spark, [(i if i is None else i * wide - 40 * wide, t) for i, t in rows])
+        found.append({(-41 if r.doc_id is None else r.doc_id // wide, tuple(sorted(r.removed_lines or ()))) for r in line_dedup.dedup_lines(spark, docs).collect()})
+    assert found[0] == found[1] and sum(len(x[1]) for x in found[0]) > 100
+    names = docs_of(spark, [(None, "a b c d e")] + [(i, "a b c d e") for i in (5, -7)]).selectExpr("cast(doc_id as string) as doc_id", "text")
+    assert {r.doc_id: r.removed_lines for r in line_dedup.dedup_lines(spark, names).collect()} == {None: None, "5": [0], "-7": [0]}
+
+
+def test_counts_saturate_as_they_are_given_out():
+    counts = prefix_join.Counts(16)
+    for n in (3, 70_000, 70_000):
+        counts.add(np.full(n, 9 + (1 << 16), dtype=np.uint64))
+    counts.add(np.array([4, 4, 4 + (1 << 20)], dtype=np.uint64))
+    (chunk,) = counts.batches()
+    data = chunk.column(3)[0].as_py()
+    assert chunk.column(1)[0].as_py() == 2 and np.frombuffer(data, dtype=np.uint16).tolist() == [4, 9, 3, 65_535]

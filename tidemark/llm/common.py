@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
@@ -9,6 +10,7 @@ import threading
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship
@@ -27,6 +29,36 @@ def prepare(spark: SparkSession) -> None:
     ship(spark)
 
 
+#: What a Python worker remembers from task to task, by owner and name.
+remembered: dict[tuple, object] = {}
+
+
+def forget_others(owner: str) -> None:
+    for key in [k for k in remembered if k[0] != owner]:
+        del remembered[key]
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system; the allocators would keep it for the worker's next task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def light(run, owner: str = ""):
+    """run (an iterator of batches to one) for a worker that holds little between tasks, and of what is remembered only the owner's."""
+
+    def task(it):
+        forget_others(owner)
+        try:
+            yield from run(it)
+        finally:
+            give_back()
+
+    return task
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of the session; a temporary one only where none is set and all runs on this machine (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
@@ -89,12 +121,12 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_LOWERED, _SPACED = _LOWER.tobytes(), _SPACE.tobytes()
 
 
 def words(buf: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and 64-bit hash of each word `[^\\x20\\x09-\\x0D]+` of UTF-8 bytes, A-Z lower-cased."""
-    b = _LOWER[np.frombuffer(buf, dtype=np.uint8)]
-    return hashed_spans(b, _SPACE[b])
+    return hashed_spans(np.frombuffer(buf.translate(_LOWERED), dtype=np.uint8), np.frombuffer(buf.translate(_SPACED), dtype=bool))
 
 
 def hashed_spans(b: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,7 +141,10 @@ def hashed_spans(b: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarr
     starts, ends = edge[0::2], edge[1::2]
     up, down = _power(len(b))
     c = np.zeros(len(b) + 1, dtype=np.uint64)
-    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], out=c[1:])
+    sums = c[1:]
+    np.add(b, np.uint64(1), out=sums)
+    sums *= up[: len(b)]
+    np.cumsum(sums, out=sums)
     return starts, ends, mix((c[ends] - c[starts]) * down[starts])
 
 

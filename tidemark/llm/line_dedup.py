@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, Scratch, chunks, mix, prepare, words
+from .common import Scratch, chunks, light, mix, prepare, words
 from .prefix_join import BROADCAST_IDS, ONCE, frequency_table, verify
 
 PERCENT = 80
@@ -37,6 +37,8 @@ LEAST_WORDS = 5
 #: Least words with which every line that has a word takes part.
 ALL_LINES = 1
 SEEN = 1 << 19
+#: Texts are cut into lines and words together up to about this many bytes: arrays of eight bytes a byte that stay in a core's cache.
+LINES_BYTES = 1 << 18
 #: Posting lists up to this long are compared in full where they are read; of a longer one, NEAR first and NEAR latest rows.
 LIST_ROWS, NEAR = 16_384, 32
 #: Leads that a posting gives out at once; if there are more, the line is joined once more unless it has gone.
@@ -45,18 +47,44 @@ KEEP = 4
 SHORT, BLOCK = 24, 1 << 20
 #: Bits of a word's hash in a posting; two words of equal bits only make more pairs to rule out.
 WORD_BITS = 40
+#: The bits left: with doc_ids in a range that they hold, one number of token and doc_id is what lists are sorted by.
+DOC_BITS = 64 - WORD_BITS
 NO_LEAD = 1 << 30
 
 
-def line_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (line, word hash) in order, over all lines of the texts, and each text's first line (and the end)."""
+def in_order(line: np.ndarray, h: np.ndarray, rank: np.ndarray | None = None) -> np.ndarray:
+    """The order by line, rank (a byte; none: all alike) and hash, of words whose lines rise.
+
+    One sort of 64-bit keys: 20 bits of the line, the rank and the first bits of the hash. Only where these bits
+    don't tell two hashes apart, or with more lines, all three are sorted by.
+    """
+    if not len(line):
+        return np.zeros(0, dtype=np.int64)
+    if line[-1] - line[0] < 1 << 20:
+        key = (line - line[0]).astype(np.uint64) << np.uint64(44)
+        if rank is None:
+            key |= h >> np.uint64(20)
+        else:
+            key |= (rank.astype(np.uint64) << np.uint64(36)) | (h >> np.uint64(28))
+        order = np.argsort(key)
+        key, ranked = key[order], h[order]
+        if not np.any((key[1:] == key[:-1]) & (ranked[1:] != ranked[:-1])):
+            return order
+    return np.lexsort((h, line) if rank is None else (h, rank, line))
+
+
+def line_words(texts: list[bytes], levels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (line, word hash) in order, over all lines of the texts, and each text's first line (and the end).
+
+    With the levels of a frequency table a line's words are in order of level, then hash.
+    """
     buf = b"\n".join(texts) + b"\n"
     starts, _, h = words(buf)
     breaks = np.flatnonzero(np.frombuffer(buf, dtype=np.uint8) == 10)
-    line = np.searchsorted(breaks, starts)
+    line = np.repeat(np.arange(len(breaks)), np.diff(np.searchsorted(starts, breaks), prepend=0))
     first = np.searchsorted(breaks, np.cumsum([0] + [len(t) + 1 for t in texts]))
-    order = np.lexsort((h, line))
-    line, h = line[order], h[order]
+    order = in_order(line, h, None if levels is None else levels[(h & np.uint64(len(levels) - 1)).astype(np.int64)])
+    h = h[order]  # line rises, so it stays as it is
     new = np.ones(len(h), dtype=bool)
     new[1:] = (line[1:] != line[:-1]) | (h[1:] != h[:-1])
     line, h = line[new], h[new]
@@ -80,8 +108,9 @@ def parities(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _tokens(batch: pa.RecordBatch):
-    for part in chunks(batch.column(0).to_pylist()):
-        yield line_words([b for _, b in part])[1]
+    """Words as often as they come: a word that a line repeats only counts too much."""
+    for part in chunks(batch.column(0).to_pylist(), LINES_BYTES):
+        yield words(b"\n".join([b for _, b in part]))[2]
 
 
 def _index(table, percent: int, least_words: int):
@@ -93,15 +122,14 @@ def _index(table, percent: int, least_words: int):
     def run(it):
         freq, seen = table.value, set()
         for batch in it:
-            for part in chunks(batch.column(2).to_pylist()):
-                line, h, at, first, n = line_words([b for _, b in part])
+            for part in chunks(batch.column(2).to_pylist(), LINES_BYTES):
+                line, h, at, first, n = line_words([b for _, b in part], freq)
                 rank = freq[(h & np.uint64(len(freq) - 1)).astype(np.int64)]
                 size = n - -(-percent * n // 100) + 1
                 fit = n >= least_words
                 joins = 100 * n >= percent * (n + 1)  # a set of one word more could match
                 sid = set_ids(h, at, n) if len(at) else np.zeros(0, dtype=np.int64)
-                order = np.lexsort((rank, line))  # ties stay in order of hash
-                ranked = h[order].view(np.int64)
+                ranked = h.view(np.int64)
                 number = line[at]
                 owner = np.searchsorted(first, number, side="right") - 1
                 rows, ids = batch.column(0).slice(part[0][0], len(part)), batch.column(1).slice(part[0][0], len(part))
@@ -130,7 +158,7 @@ def _sets(it):
     """(sid, toks) of the wanted lines of (text, lines)."""
     for batch in it:
         wanted = batch.column(1).to_pylist()
-        for part in chunks(batch.column(0).to_pylist(), CHUNK_BYTES):
+        for part in chunks(batch.column(0).to_pylist(), LINES_BYTES):
             _, h, at, first, n = (x := line_words([b for _, b in part]))
             number = x[0][at]
             sid = set_ids(h, at, n) if len(at) else np.zeros(0, dtype=np.int64)
@@ -159,7 +187,7 @@ def _possible(x: str, y: str, percent: int) -> str:
 
 
 def _found(percent: int, list_rows: int = LIST_ROWS, near: int = NEAR, keep: int = KEEP):
-    """For rows (token, sid, meta, m1, m2, doc) sorted by token, doc, sid: rows (sid, lead, differ, more).
+    """For rows (token, sid, meta, m1, m2, doc) sorted by token and their documents' ids: rows (sid, lead, differ, more).
 
     lead: another sid of the token's list that length, position and maps allow to match, before the row in
     the list or of the same document; differ: in how many bits their maps differ. Of each row the `keep`
@@ -262,7 +290,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, le
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
     table = spark.sparkContext.broadcast(frequency_table(docs.select("text"), _tokens))
-    lines = scratch.write(keyed.mapInArrow(_index(table, percent, least_words), f"row long, doc_id {kind}, line long, sid long, n long, skip long, prefix array<long>, m1 long, m2 long"), "indexed")
+    lines = scratch.write(keyed.mapInArrow(light(_index(table, percent, least_words)), f"row long, doc_id {kind}, line long, sid long, n long, skip long, prefix array<long>, m1 long, m2 long"), "indexed")
     slim = scratch.write(lines.select("row", "doc_id", "line", "sid"), "lines")
     classes = lines.groupBy("sid").agg(F.min(F.struct("doc_id", "row", "line")).alias("first"), F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("n", "skip", "m1", "m2")), F.max("prefix").alias("prefix"))
     classes = scratch.write(classes, "classes")
@@ -273,8 +301,17 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, le
     def postings(of: DataFrame) -> DataFrame:
         return of.select("sid", "n", "skip", "m1", "m2", F.col("first.doc_id").alias("doc"), F.posexplode("prefix").alias("pos", "word")).select(F.col("word").bitwiseAND(F.lit((1 << WORD_BITS) - 1)).alias("token"), "sid", meta, "m1", "m2", "doc")
 
-    lists = postings(classes).repartition("token").sortWithinPartitions("token", "doc", "sid").select("token", "sid", "meta", "m1", "m2", F.xxhash64("doc").alias("doc"))
-    found = scratch.write(lists.mapInArrow(_found(percent), "sid long, lead long, differ int, more boolean"), "found")
+    lists, low, high = postings(classes), None, None
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        low, high = classes.agg(F.min("first.doc_id"), F.max("first.doc_id")).first()
+    if low is not None and high - low + 1 < 1 << DOC_BITS:
+        place = F.coalesce(F.col("doc").cast("long") - F.lit(low).cast("long") + 1, F.lit(0).cast("long"))  # a null id is the least
+        lists = lists.select(F.shiftleft("token", DOC_BITS).bitwiseOR(place).alias("key"), "sid", "meta", "m1", "m2")
+        token = F.shiftrightunsigned("key", DOC_BITS)
+        lists = lists.repartition(token).sortWithinPartitions("key").select(token.alias("token"), "sid", "meta", "m1", "m2", F.col("key").bitwiseAND(F.lit((1 << DOC_BITS) - 1)).alias("doc"))
+    else:
+        lists = lists.repartition("token").sortWithinPartitions("token", "doc").select("token", "sid", "meta", "m1", "m2", F.xxhash64("doc").alias("doc"))
+    found = scratch.write(lists.mapInArrow(light(_found(percent)), "sid long, lead long, differ int, more boolean"), "found")
     del lines, lists
     scratch.drop()
 
@@ -285,7 +322,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, le
         wanted = firsts.join(ends, "sid").select("first.row", "first.line").groupBy("row").agg(F.collect_list("line").alias("lines"))  # a text's own lines
         wanted = scratch.write(wanted, f"{name}-wanted")
         small = wanted.limit(BROADCAST_IDS + 1).agg(F.coalesce(F.sum(F.size("lines")), F.lit(0)).alias("n")).first().n <= BROADCAST_IDS
-        sets = keyed.select("row", "text").join(F.broadcast(wanted) if small else wanted, "row").select("text", "lines").mapInArrow(_sets, "sid long, toks binary")
+        sets = keyed.select("row", "text").join(F.broadcast(wanted) if small else wanted, "row").select("text", "lines").mapInArrow(light(_sets), "sid long, toks binary")
         links = verify(pairs, sets, percent).distinct()
         x = links.join(firsts.select(F.col("sid").alias("a"), F.col("first").alias("fa")), "a").join(firsts.select(F.col("sid").alias("b"), F.col("first").alias("fb")), "b")
         found = scratch.write(x.select(F.expr("case when fa < fb then b else a end").alias("sid")).distinct(), f"{name}-gone")
@@ -318,7 +355,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, le
     scratch.drop("classes", "lines", "found", "left", "open", "star-pairs", "rest-pairs", "star-gone", "rest-gone", "bad")
     names = [c for c in docs.columns if c != "removed_lines"]
     carried = docs.select(*(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names)), F.xxhash64("doc_id", "text").alias("_row"))
-    both = carried.join(cut, carried._row == cut.row, "left")
+    both = carried.join(cut.hint("shuffle_hash"), carried._row == cut.row, "left")  # the texts needn't be sorted
     text = F.col(f"_c{names.index('text')}")
     kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains("removed_lines", i.cast("long"))), "\n")
     text = F.when(F.col("removed_lines").isNull(), text).otherwise(kept)

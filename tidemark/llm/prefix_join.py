@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, light
 
 #: Counters of a frequency table, a byte each once summed: 4 MB at any size of the corpus.
 TABLE_BITS = 22
@@ -44,17 +44,17 @@ def count_of(levels: np.ndarray) -> np.ndarray:
 
 
 class Counts:
-    """Saturating counts of tokens by bucket; given out in chunks, dense or sparse, whichever is smaller."""
+    """Counts of tokens by bucket, at most 65,535 each as they are given out in chunks, dense or sparse, whichever is smaller."""
 
     def __init__(self, bits: int):
-        self.bits, self.table = bits, np.zeros(1 << bits, dtype=np.uint16)
+        self.bits, self.table = bits, np.zeros(1 << bits, dtype=np.uint32)
 
     def add(self, tokens: np.ndarray) -> None:
-        at, n = np.unique((tokens & np.uint64((1 << self.bits) - 1)).astype(np.int32), return_counts=True)
-        self.table[at] = np.minimum(self.table[at].astype(np.int64) + n, 65535)
+        np.add.at(self.table, (tokens & np.uint64((1 << self.bits) - 1)).astype(np.int32), np.uint32(1))
 
     def batches(self) -> Iterator[pa.RecordBatch]:
         for chunk, part in enumerate(self.table.reshape(-1, 1 << 16)):
+            part = np.minimum(part, 65535)
             at = np.flatnonzero(part)
             if not len(at):
                 continue
@@ -97,8 +97,8 @@ def frequency_table(rows: DataFrame, tokens_of: Callable, bits: int = TABLE_BITS
                 c.add(tokens)
         yield from c.batches()
 
-    parts = rows.mapInArrow(count, "chunk int, size int, small boolean, data binary").repartition("chunk").sortWithinPartitions("chunk")
-    sums = parts.mapInArrow(_sum_chunks, "chunk int, data binary").toArrow()
+    parts = rows.mapInArrow(light(count), "chunk int, size int, small boolean, data binary").repartition("chunk").sortWithinPartitions("chunk")
+    sums = parts.mapInArrow(light(_sum_chunks), "chunk int, data binary").toArrow()
     table = np.zeros((1 << (bits - 16), 1 << 16), dtype=np.uint8)
     for chunk, data in zip(sums.column("chunk"), sums.column("data")):
         table[chunk.as_py()] = np.frombuffer(data.as_buffer(), dtype=np.uint8)
@@ -145,7 +145,7 @@ def shared_postings(postings: DataFrame) -> DataFrame:
             last = (token[-1], lead[-1], lead_meta[-1], sid[-1], given)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["token", "sid", "meta", "lead", "lead_meta"])
 
-    return postings.repartition("token").sortWithinPartitions("token", "meta", "sid").mapInArrow(stream, "token long, sid long, meta long, lead long, lead_meta long")
+    return postings.repartition("token").sortWithinPartitions("token", "meta", "sid").mapInArrow(light(stream), "token long, sid long, meta long, lead long, lead_meta long")
 
 
 def sketch(tokens: np.ndarray) -> bytes:
@@ -173,7 +173,7 @@ def plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
 
     one = pairs.select("a", "b").join(sketches.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ta")), "a")
     two = one.join(sketches.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("tb")), "b")
-    return two.select("a", "b", "na", "ta", "nb", "tb").mapInArrow(check, "a long, b long")
+    return two.select("a", "b", "na", "ta", "nb", "tb").mapInArrow(light(check), "a long, b long")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -195,7 +195,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     one = pairs.select("a", "b").join(sets.select(F.col("sid").alias("a"), F.col("toks").alias("ta")), "a")
     two = one.join(sets.select(F.col("sid").alias("b"), F.col("toks").alias("tb")), "b").select("a", "b", "ta", "tb")
-    return two.mapInArrow(check, "a long, b long")
+    return two.mapInArrow(light(check), "a long, b long")
 
 
 def among(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
