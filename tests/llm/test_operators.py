@@ -3,6 +3,7 @@
 import re
 import zlib
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 pytest.importorskip("tidemark.llm")
 
 import corpus_pipeline  # noqa: E402
-from tidemark.llm import ann, boosting, fingerprint, language_id, line_dedup, ngram_join, packing, prefix_join, sampling, token_counts, toxicity, url_filter  # noqa: E402
+from tidemark.llm import ann, boosting, common, fingerprint, language_id, line_dedup, ngram_join, packing, prefix_join, sampling, token_counts, toxicity, url_filter  # noqa: E402
 from tidemark.llm.pieces import Vocabulary, default_model  # noqa: E402
 
 DOCS = "doc_id long, text string"
@@ -683,3 +684,37 @@ def test_counts_saturate_as_they_are_given_out():
     (chunk,) = counts.batches()
     data = chunk.column(3)[0].as_py()
     assert chunk.column(1)[0].as_py() == 2 and np.frombuffer(data, dtype=np.uint16).tolist() == [4, 9, 3, 65_535]
+
+
+def test_workers_keep_the_words_of_one_operator():
+    path = packing.default_tokenizer()
+    assert packing.word_ids(path) is packing.word_ids(path)
+    kept = packing.word_ids(path)
+    assert list(common.light(lambda it: (x + 1 for x in it), packing.OWNER)([1, 2])) == [2, 3]
+    assert packing.word_ids(path) is kept
+    assert list(common.light(iter)([1])) == [1]
+    assert not common.remembered and packing.word_ids(path) is not kept
+
+
+@pytest.mark.skipif(not Path("/proc/self/smaps_rollup").exists(), reason="no memory figures")
+def test_tasks_give_memory_back():
+    def held():
+        return sum(map(int, re.findall(r"\nPrivate_Dirty:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) >> 10
+
+    def run(it):
+        for _ in it:
+            small = [bytes(2000) for _ in range(60_000)]
+            yield len(small)
+            last.append(small[-1])  # what is freed lies below what stays
+
+    last: list = []
+    before = held()
+    assert list(common.light(run)([0])) == [60_000]
+    assert held() - before < 40  # 120 MB were held, and a plain task leaves them with the allocator
+
+
+def test_scratch_writes_no_checksum_files(spark, tmp_path):
+    scratch = common.Scratch(spark, "plain")
+    scratch.base = f"file://{tmp_path}/plain"
+    assert scratch.write(spark.range(100).repartition(5), "t").count() == 100
+    assert len(list((tmp_path / "plain/t").glob("part-*"))) == 5 and not list((tmp_path / "plain/t").glob(".*.crc"))

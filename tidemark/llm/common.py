@@ -72,6 +72,10 @@ def scratch_root(spark: SparkSession) -> str:
     return scratch_root.own
 
 
+#: On file: folders without checksum files: for each file, data or checksum, the executor's JVM starts a process (chmod).
+PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 class Scratch:
     """Intermediate tables as Parquet in the shared folder: they cut lineage and outlive executors."""
 
@@ -80,7 +84,7 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.options(**PLAIN_FILES).mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, prepare
+from .common import CHUNK_BYTES, light, prepare
 
 #: The bound of the training sample.
 DOCS_PER_LANGUAGE = 1_500
@@ -108,7 +108,7 @@ def learn(rows: DataFrame, lang: str = "lang", sample: int = DOCS_PER_LANGUAGE)
         lang_at, bucket = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(lang_at.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(total[lang_at, bucket])], names=["lang", "bucket", "n"])
 
-    sums = chosen.mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    sums = chosen.mapInArrow(light(count), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.full((1 << BUCKET_BITS, len(langs)), 0.5)
     counts[sums.column("bucket").to_numpy(), sums.column("lang").to_numpy()] += sums.column("n").to_numpy()
     return langs, np.log(counts / counts.sum(0)).astype(np.float32)
@@ -216,7 +216,7 @@ def predict(spark: SparkSession, docs: DataFrame, model: tuple[list[str], np.nda
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(parts, pa.map_(pa.string(), pa.float64()))], names=[*keep, "lang_pred", "score", "proportions"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(keep).schema)
-    return docs.select(*keep, "text").mapInArrow(run, f"{schema}, lang_pred string, score double, proportions map<string,double>")
+    return docs.select(*keep, "text").mapInArrow(light(run), f"{schema}, lang_pred string, score double, proportions map<string,double>")
 
 
 def with_letter(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -228,7 +228,7 @@ def with_letter(spark: SparkSession, docs: DataFrame) -> DataFrame:
         for batch in it:
             yield batch.filter(pa.array([bool(t) and LETTER.search(t) is not None for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(light(run), docs.schema)
 
 
 def remainder(n: int) -> Column:

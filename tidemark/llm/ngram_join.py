@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, chunks, mix, prepare, words
+from .common import Scratch, chunks, light, mix, prepare, words
 from .prefix_join import among, components, count_of, frequency_table, noise, plausible, set_id, shared_postings, sketch, verify
 
 SHINGLE_WORDS = 5
@@ -187,7 +187,7 @@ def _join(spark: SparkSession, docs: DataFrame, percent: int, all_links: bool) -
     counts = frequency_table(docs, tokens_of)
     table = spark.sparkContext.broadcast((counts, noise(counts)))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    indexed = scratch.write(docs.mapInArrow(_index(table, percent), f"doc_id {kind}, sid long, n long, matches int, alone int, prefix array<long>, sketch binary"), "indexed")
+    indexed = scratch.write(docs.mapInArrow(light(_index(table, percent)), f"doc_id {kind}, sid long, n long, matches int, alone int, prefix array<long>, sketch binary"), "indexed")
     members = scratch.write(indexed.select("doc_id", "sid", "n"), "members")
     sketches = scratch.write(indexed.filter("sketch is not null").select("sid", "n", "sketch"), "sketches")
     meta = F.expr("shiftleft(cast(alone as long), 56) | shiftleft(n, 30) | shiftleft(cast(pos + 1 as long), 4) | cast(matches as long)")
@@ -201,7 +201,7 @@ def _join(spark: SparkSession, docs: DataFrame, percent: int, all_links: bool) -
         pairs = scratch.write(plausible(pairs, sketches, percent).distinct(), f"{name}-pairs")
         ends = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
         wanted = scratch.write(reps.join(ends, "sid").select("id"), f"{name}-ids")
-        sets = among(docs, "doc_id", wanted).mapInArrow(_sets, "sid long, toks binary")
+        sets = among(docs, "doc_id", wanted).mapInArrow(light(_sets), "sid long, toks binary")
         links = scratch.write(verify(pairs, sets, percent).distinct(), f"{name}-links")
         del sets
         scratch.drop(f"{name}-ids")

@@ -28,7 +28,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import prepare
+from .common import light, prepare, remembered
 
 SEQUENCE = 2048
 END_ID = 1
@@ -105,13 +105,14 @@ class WordIds:
         return b"".join(out)
 
 
-_open: dict[str, WordIds] = {}
+#: Word ids stay with a worker until it does another operator's task.
+OWNER = "packing"
 
 
 def word_ids(path: str) -> WordIds:
-    if path not in _open:
-        _open[path] = WordIds(path)
-    return _open[path]
+    if (OWNER, path) not in remembered:
+        remembered[OWNER, path] = WordIds(path)
+    return remembered[OWNER, path]
 
 
 class Packer:
@@ -234,4 +235,4 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None, siz
         packer.finish()
         yield rows(id_type)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return docs.select("doc_id", "text").mapInArrow(light(run, OWNER), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import boosting
-from .common import Scratch, prepare
+from .common import Scratch, light, prepare
 from .language_id import remainder
 
 #: The bound of the training sample.
@@ -125,7 +125,7 @@ def _counts(rows: DataFrame, wanted) -> dict[str, int]:
                 total.update(found if wanted is None else found & wanted.value)
         yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())], names=["stem", "n"])
 
-    got = rows.select("text").mapInArrow(count, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n"))
+    got = rows.select("text").mapInArrow(light(count), "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n"))
     return {r.stem: r.n for r in got.filter(F.col("n") >= (SUPPORT if wanted is None else 1)).collect()}  # bounded with the sample
 
 
@@ -164,7 +164,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
             x = [features(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.list_(pa.float64()))], names=["part", "toxic", "x"])
 
-    got = rows.select(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)).cast("int").alias("part"), "text", F.col("toxic").cast("int").alias("toxic"), "doc_id").orderBy("doc_id").drop("doc_id").mapInArrow(measure, "part int, toxic int, x array<double>").toArrow()
+    got = rows.select(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)).cast("int").alias("part"), "text", F.col("toxic").cast("int").alias("toxic"), "doc_id").orderBy("doc_id").drop("doc_id").mapInArrow(light(measure), "part int, toxic int, x array<double>").toArrow()
     scratch.drop("sample", "chosen")
     if not got.num_rows:
         return None
@@ -192,7 +192,7 @@ def score(spark: SparkSession, docs: DataFrame, model: dict | None) -> DataFrame
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(keep).schema)
-    return docs.select(*keep, "text").mapInArrow(run, f"{schema}, score double, predicted int")
+    return docs.select(*keep, "text").mapInArrow(light(run), f"{schema}, score double, predicted int")
 
 
 def rate(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
